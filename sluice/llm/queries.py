@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sluice.llm import bpe, langid, transport, urls
+from sluice.llm import bpe, langid, toxicity, transport, urls
 from sluice.llm.common import table, text_or_empty
 
 QUERIES: dict = {}
@@ -89,3 +89,9 @@ def op3_language(spark, sf_dir):
     docs = docs.withColumn("held_out", held)
     model = langid.fit(docs.filter(~F.col("held_out")))
     return langid.predict(docs.select("doc_id", "held_out", "text"), model, carry=("held_out",))
+
+
+@query
+def op5_toxicity(spark, sf_dir):
+    """Every text's probabilities by the chain that learns from `labels`."""
+    return toxicity.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
