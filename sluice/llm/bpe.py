@@ -13,7 +13,8 @@ token is given up once at most: the work is linear in the piece's length.
 from __future__ import annotations
 
 import base64
-import itertools
+import re
+from array import array
 
 import ahocorasick
 import numpy as np
@@ -27,7 +28,13 @@ from sluice.llm.common import bounded_batches, strings
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 #: Pieces whose ids a worker remembers at most; beyond it the memory starts anew.
-MEMO_PIECES = 400_000
+MEMO_PIECES = 500_000
+
+#: Two white-space characters in a row.
+RUN = re.compile(r"\s\s")
+
+#: Pairs of adjacent tokens whose verdict a worker remembers at most.
+MEMO_PAIRS = 2_000_000
 
 
 def default_vocabulary() -> str:
@@ -48,14 +55,14 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 
 
 class Pieces(dict):
-    """Piece of text -> tuple of ids, filled on demand."""
+    """Piece of text -> its ids as bytes of 32-bit integers, filled on demand."""
 
     def __init__(self, encoder: "BytePairEncoder"):
         super().__init__()
         self.encoder = encoder
 
     def __missing__(self, piece: str):
-        ids = tuple(self.encoder.encode_piece(piece.encode("utf-8")))
+        ids = array("i", self.encoder.encode_piece(piece.encode("utf-8"))).tobytes()
         if len(piece) <= 64:  # long pieces seldom come again
             if len(self) >= MEMO_PIECES:
                 self.clear()
@@ -63,6 +70,22 @@ class Pieces(dict):
         return ids
 
 
+class Chunks(dict):
+    """What stands between two single spaces -> the ids of it and the space before it."""
+
+    def __init__(self, encoder: "BytePairEncoder"):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, chunk: str):
+        ids = self.encoder.joined(" " + chunk)
+        if len(chunk) <= 64:
+            if len(self) >= MEMO_PIECES:
+                self.clear()
+            self[chunk] = ids
+        return ids
+
+
 class BytePairEncoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
@@ -70,12 +93,13 @@ class BytePairEncoder:
         self.find = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]")).findall
         self.automaton = ahocorasick.Automaton()
         for b, r in ranks.items():
-            self.automaton.add_word(b.decode("latin-1"), (r, len(b)))
+            self.automaton.add_word(b.decode("latin-1"), (r, len(b) - 1))
         self.automaton.make_automaton()
         self._prefix: dict[int, int] = {}
         self._halves: dict[int, tuple[int, int] | None] = {}
-        self._fits: dict[tuple[int, int], bool] = {}
-        self.pieces = Pieces(self)
+        self._fits: dict[int, bool] = {}
+        self.size = {r: len(b) for b, r in ranks.items()}
+        self.pieces, self.chunks = Pieces(self), Chunks(self)
 
     def shorter(self, token: int) -> int:
         """The longest token that is a proper prefix of this one; -1 if there is none."""
@@ -109,12 +133,11 @@ class BytePairEncoder:
 
     def fits(self, left: int, right: int) -> bool:
         """Whether merging leaves these two side by side."""
-        key = (left, right)
-        known = self._fits.get(key)
+        known = self._fits.get(left << 32 | right)
         if known is None:
-            known = self._fits[key] = self._walk(left, right)
-            if len(self._fits) > 2_000_000:
+            if len(self._fits) >= MEMO_PAIRS:
                 self._fits.clear()
+            known = self._fits[left << 32 | right] = self._walk(left, right)
         return known
 
     def _walk(self, left: int, right: int) -> bool:
@@ -142,36 +165,49 @@ class BytePairEncoder:
         n = len(data)
         if n == 0:
             return []
-        longest, width = [-1] * n, [0] * n
-        for end, (rank, size) in self.automaton.iter(data.decode("latin-1")):
-            start = end - size + 1
-            if size > width[start]:
-                longest[start], width[start] = rank, size
+        longest = [-1] * n
+        for end, (rank, back) in self.automaton.iter(data.decode("latin-1")):
+            longest[end - back] = rank  # ends come in order, so the longest stays
         dead = bytearray(n + 1)
         out: list[int] = []
-        at, token = 0, longest[0]
+        size, known, last, at, token = self.size, self._fits.get, -1, 0, longest[0]
         while True:
             while token >= 0:
-                end = at + len(self.token[token])
-                if not dead[end] and (not out or self.fits(out[-1], token)):
-                    break
+                end = at + size[token]
+                if not dead[end]:
+                    if last < 0:
+                        break
+                    ok = known(last << 32 | token)
+                    if ok or ok is None and self.fits(last, token):
+                        break
                 token = self.shorter(token)
             if token >= 0:
                 out.append(token)
-                at = end
-                if at == n:
+                if end == n:
                     return out
-                token = longest[at]
+                last, at, token = token, end, longest[end]
             elif out:
                 dead[at] = 1
                 token = out.pop()
-                at -= len(self.token[token])
+                at -= size[token]
+                last = out[-1] if out else -1
                 token = self.shorter(token)
             else:
                 raise ValueError("the vocabulary lacks a byte")
 
+    def joined(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.find(text)))
+
     def encode(self, text: str) -> np.ndarray:
-        return np.fromiter(itertools.chain.from_iterable(map(self.pieces.__getitem__, self.find(text))), dtype=np.int32)
+        """Ids of the text. Where white space stands in no runs, no match of the pattern
+        crosses a space other than at its start, so the chunks between spaces are
+        independent and their ids can be remembered."""
+        if RUN.search(text):
+            ids = self.joined(text)
+        else:
+            first, *rest = text.split(" ")
+            ids = self.joined(first) + b"".join(map(self.chunks.__getitem__, rest))
+        return np.frombuffer(ids, dtype=np.int32)
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
