@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sluice.llm import bpe, langid, toxicity, transport, urls
+from sluice.llm import bpe, langid, simhash, toxicity, transport, urls
 from sluice.llm.common import table, text_or_empty
 
 QUERIES: dict = {}
@@ -95,3 +95,10 @@ def op3_language(spark, sf_dir):
 def op5_toxicity(spark, sf_dir):
     """Every text's probabilities by the chain that learns from `labels`."""
     return toxicity.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op1_simhash(spark, sf_dir):
+    """Every text's 64-bit fingerprint, and the least doc_id over links of 4 bits or fewer."""
+    got = simhash.groups(table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, lanes=1, most=4)
+    return got.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
