@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sluice.llm import bpe, langid, simhash, toxicity, transport, urls
-from sluice.llm.common import table, text_or_empty
+from sluice.llm import bpe, langid, mixing, simhash, toxicity, transport, urls
+from sluice.llm.common import table, text_or_empty, word_count
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -102,3 +102,11 @@ def op1_simhash(spark, sf_dir):
     """Every text's 64-bit fingerprint, and the least doc_id over links of 4 bits or fewer."""
     got = simhash.groups(table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, lanes=1, most=4)
     return got.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query
+def op2_mixing(spark, sf_dir):
+    """Words that a mix of all sources takes of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    mixed = mixing.mix(docs, size="size")
+    return mixed.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), mixing.taken().alias("taken"))
