@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sluice.llm import bpe, langid, mixing, simhash, toxicity, transport, urls
+from sluice.llm import bpe, langid, mixing, simhash, syncmers, toxicity, transport, urls
 from sluice.llm.common import table, text_or_empty, word_count
 
 QUERIES: dict = {}
@@ -110,3 +110,19 @@ def op2_mixing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
     mixed = mixing.mix(docs, size="size")
     return mixed.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), mixing.taken().alias("taken"))
+
+
+@query
+def op4_syncmers(spark, sf_dir):
+    """Every text's fingerprint against that of its edited text and of the next document."""
+    got = syncmers.compare_edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    got = got.withColumns({f"near_{x}": syncmers.likeness(F.col("fingerprint"), F.col(f"{x}_fingerprint")) for x in ("edited", "next")})
+    return got.select(
+        "doc_id",
+        "n_chars",
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        syncmers.written(F.col("fingerprint")).alias("fingerprint"),
+        syncmers.written(F.col("edited_fingerprint")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
