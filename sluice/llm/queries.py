@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sluice.llm import bpe, langid, mixing, simhash, syncmers, toxicity, transport, urls
+from sluice.llm import bpe, langid, mixing, simhash, suffixes, syncmers, toxicity, transport, urls
 from sluice.llm.common import table, text_or_empty, word_count
 
 QUERIES: dict = {}
@@ -126,3 +126,17 @@ def op4_syncmers(spark, sf_dir):
         "near_edited",
         "near_next",
     )
+
+
+@query
+def op8_repeats(spark, sf_dir):
+    """Every text without the bytes of 100-byte strings that also start earlier."""
+    got = suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("__spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
+    return got.select(
+        "doc_id",
+        (F.octet_length("__kept") + removed).cast("long").alias("n_bytes"),
+        removed.alias("n_removed"),
+        F.size("__spans").cast("long").alias("n_spans"),
+        F.sha2("__kept", 256).alias("kept_sha256"),
+    )
