@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sluice.llm import bpe, langid, mixing, simhash, suffixes, syncmers, toxicity, transport, urls
+from sluice.llm import bpe, langid, mixing, simhash, suffixes, syncmers, tokenfile, toxicity, transport, urls
 from sluice.llm.common import table, text_or_empty, word_count
 
 QUERIES: dict = {}
@@ -140,3 +140,10 @@ def op8_repeats(spark, sf_dir):
         F.size("__spans").cast("long").alias("n_spans"),
         F.sha2("__kept", 256).alias("kept_sha256"),
     )
+
+
+@query
+def op6_token_ids(spark, sf_dir):
+    """Every text's ids and the end id, written to files and read back."""
+    got = tokenfile.store(table(spark, sf_dir, "documents").select("doc_id", "text"), end=1)
+    return got.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))

@@ -88,16 +88,27 @@ def matches(a: Column, b: Column) -> Column:
     return _bound(there, lambda m: F.filter(F.transform(a, lambda x: F.struct(x["hash"].alias("hash"), x["place"].alias("place"), F.try_element_at(m, x["hash"]).alias("other"))), lambda x: x["other"].isNotNull()))
 
 
-def _ranges(df: DataFrame, key: str) -> list[int]:
-    """Largest keys of ranges of about RANGE_ROWS rows: MOST_RANGES numbers at most."""
+def ranges(df: DataFrame, key: str, rows: int = RANGE_ROWS) -> list[int]:
+    """Largest keys of ranges of about so many rows: MOST_RANGES numbers at most."""
     n, top = df.agg(F.count(key), F.max(key)).first()
     if not n:
         return []
-    count = min(MOST_RANGES, -(-n // RANGE_ROWS))
+    count = min(MOST_RANGES, -(-n // rows))
     found = df.agg(F.percentile_approx(key, [i / count for i in range(1, count)], max(10_000, 10 * count))).first()[0] if count > 1 else []
     return sorted({*found, top})
 
 
+def range_of(key: Column, tops: list[int]) -> tuple[Column, Column]:
+    """A key's range, and whether it is the range's largest key; looked up in two steps of about sqrt(ranges)."""
+    step = max(1, round(len(tops) ** 0.5))
+    leaves = [tops[i : i + step] for i in range(0, len(tops), step)]
+    roots = F.from_json(F.lit(json.dumps([x[-1] for x in leaves])), "array<bigint>")
+    parts = F.from_json(F.lit(json.dumps(leaves)), "array<array<bigint>>")
+    root = F.size(F.filter(roots, lambda t: t < key))
+    leaf = F.coalesce(F.get(parts, root), F.array().cast("array<bigint>"))
+    return (root * step + F.size(F.filter(leaf, lambda t: t < key))).cast("int"), F.array_contains(leaf, key)
+
+
 def with_next(df: DataFrame, key: str, carry: list[str]) -> DataFrame:
     """df (key and carry) with next_<column> of each carried column, of the next row by descending key; after the last comes the first.
 
@@ -106,18 +117,11 @@ def with_next(df: DataFrame, key: str, carry: list[str]) -> DataFrame:
     range. Null keys come last; of repeated keys those with the least hash of what they carry
     come first; a table of one row is its own next.
     """
-    tops = _ranges(df, key)
-    step = max(1, round(len(tops) ** 0.5))
-    leaves = [tops[i : i + step] for i in range(0, len(tops), step)]
-    roots = F.from_json(F.lit(json.dumps([x[-1] for x in leaves])), "array<bigint>")
-    parts = F.from_json(F.lit(json.dumps(leaves)), "array<array<bigint>>")
+    tops = ranges(df, key)
     k = F.col(key)
-    root = F.size(F.filter(roots, lambda t: t < k))
-    leaf = F.coalesce(F.get(parts, root), F.array().cast("array<bigint>"))
-    own = F.when(k.isNull() | F.lit(not tops), F.lit(0)).otherwise(root * step + F.size(F.filter(leaf, lambda t: t < k)))
-    rows = df.withColumn("__range", own.cast("int"))
+    own, ends = range_of(k, tops)
+    rows = df.withColumn("__range", F.when(k.isNull() | F.lit(not tops), F.lit(0)).otherwise(own))
     above = F.when(F.col("__range") == len(tops) - 1, 0).otherwise(F.col("__range") + 1)
-    ends = F.array_contains(F.coalesce(F.get(parts, root), F.array().cast("array<bigint>")), k)
     if not tops:  # no keys at all: one range, its first row ends it
         ends, above = F.lit(True), F.lit(0)
     places = F.when(ends, F.array(F.struct(F.col("__range").alias("r"), F.lit(0).alias("copy")), F.struct(above.cast("int").alias("r"), F.lit(1).alias("copy")))).otherwise(F.array(F.struct(F.col("__range").alias("r"), F.lit(0).alias("copy"))))
