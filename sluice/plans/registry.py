@@ -1,4 +1,472 @@
 """Every query of the core library and its DuckDB oracle."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sluice.config import DEFAULT
+from sluice.functions.hashing import unsigned_text, with_mix64
+from sluice.operators import flows as fl
+from sluice.operators import metrics, recovery, sketch, steps
+from sluice.plans.oracle import EVENTS, FLOWS, LINEITEM, ORDERS, bloom, cms
+from sluice.sources import generators, packets, results
+from sluice.streaming import streams
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+# --- hashing
+
+
+@query(
+    f"""WITH {cms("SELECT DISTINCT user_id AS key FROM events")}, h AS (SELECT key, x FROM (SELECT key, key::UBIGINT AS x FROM src)),
+    h1 AS (SELECT key, ((xor(x, x >> 33))::UHUGEINT * 18397679294719823053::UHUGEINT % 18446744073709551616::UHUGEINT)::UBIGINT AS x FROM h),
+    h2 AS (SELECT key, ((xor(x, x >> 33))::UHUGEINT * 14181476777654086739::UHUGEINT % 18446744073709551616::UHUGEINT)::UBIGINT AS x FROM h1)
+    SELECT key, xor(x, x >> 33)::VARCHAR AS hash FROM h2"""
+)
+def mix64_hash(spark, sf_dir):
+    keys = packets.events(spark, sf_dir).select("key").distinct()
+    return with_mix64(keys).select("key", unsigned_text(F.col("hash")).alias("hash"))
+
+
+@query(f'WITH {cms("SELECT DISTINCT user_id AS key FROM events")} SELECT key, "row", col FROM p')
+def hash_positions(spark, sf_dir):
+    return sketch.cms_cells(packets.events(spark, sf_dir).select("key").distinct())
+
+
+@query(f"WITH {bloom('SELECT DISTINCT user_id AS key FROM events')} SELECT key, i, col FROM p8")
+def bloom_positions(spark, sf_dir):
+    return sketch.bloom_cells(packets.events(spark, sf_dir).select("key").distinct())
+
+
+# --- sketch
+
+_SUM = 'SELECT "row", col, (sum(weight) % 4294967296)::BIGINT AS value FROM p GROUP BY "row", col'
+
+
+@query(f"WITH {cms(EVENTS)} {_SUM}")
+def cms_sketch(spark, sf_dir):
+    return sketch.build_sketch(packets.events(spark, sf_dir))
+
+
+@query(f"WITH {cms(LINEITEM)} {_SUM}")
+def cms_sketch_lineitem(spark, sf_dir):
+    return sketch.build_sketch(packets.lineitem(spark, sf_dir))
+
+
+@query(f"WITH {cms(ORDERS)} {_SUM}")
+def cms_sketch_orders(spark, sf_dir):
+    return sketch.build_sketch(packets.orders(spark, sf_dir))
+
+
+@query(f'WITH {cms(EVENTS)} SELECT "row", sum(value)::BIGINT AS total FROM ({_SUM}) GROUP BY "row"')
+def cms_row_totals(spark, sf_dir):
+    return sketch.row_totals(sketch.build_sketch(packets.events(spark, sf_dir)))
+
+
+@query(f"WITH {FLOWS} SELECT n::INTEGER AS pos, coalesce(value, 0)::DOUBLE AS value FROM range(65536) g(n) LEFT JOIN y ON y.pos = n")
+def cms_flatten(spark, sf_dir):
+    return sketch.flatten_dense(sketch.build_sketch(packets.events(spark, sf_dir)))
+
+
+@query(f"WITH {bloom(EVENTS)} SELECT DISTINCT i, col FROM p8")
+def bloom_bits(spark, sf_dir):
+    return sketch.bloom_bits(packets.events(spark, sf_dir))
+
+
+def _flags(source: str) -> str:
+    return f"""WITH {bloom(source)}, f AS (SELECT seq, key, min(seq) OVER (PARTITION BY i, col) = seq AS own FROM p8)
+    SELECT seq, key, bool_or(own) AS is_new FROM f GROUP BY seq, key"""
+
+
+@query(_flags(EVENTS))
+def new_flow_flags(spark, sf_dir):
+    return sketch.new_flow_flags(packets.events(spark, sf_dir))
+
+
+@query(_flags(ORDERS))
+def new_flow_flags_orders(spark, sf_dir):
+    return sketch.new_flow_flags(packets.orders(spark, sf_dir))
+
+
+@query(
+    f"""WITH {cms(EVENTS)}, {bloom(EVENTS)}, c AS ({_SUM}), hits AS (SELECT i, col, min(seq) AS first FROM p8 GROUP BY i, col)
+    SELECT (SELECT count(*) FROM src) AS processed, (SELECT count(DISTINCT first) FROM hits) AS new_flows,
+    (SELECT sum(value)::BIGINT FROM c) AS cms_total, (SELECT count(*) FROM hits) AS bloom_ones"""
+)
+def run_stats(spark, sf_dir):
+    return sketch.run_stats(packets.events(spark, sf_dir))
+
+
+@query(f"WITH {FLOWS} SELECT key, min(value)::BIGINT AS estimate FROM pattern JOIN y USING (pos) JOIN flows USING (flow_id) GROUP BY key")
+def point_estimates(spark, sf_dir):
+    p = packets.events(spark, sf_dir)
+    return sketch.point_estimates(p, sketch.build_sketch(p))
+
+
+# --- flows
+
+
+@query(f'WITH {FLOWS} SELECT flow_id, key, "row", (pos - "row" * 16384)::INTEGER AS col, true_x FROM flows JOIN pattern USING (flow_id)')
+def flow_table(spark, sf_dir):
+    rows = fl.flow_table(packets.events(spark, sf_dir))
+    return rows.select("flow_id", "key", F.posexplode("idx").alias("row", "col"), "true_x")
+
+
+@query(
+    """WITH k AS (SELECT o_custkey AS key, min(o_orderkey) AS first, sum(CAST(round(o_totalprice * 100) AS BIGINT))::DOUBLE AS true_x FROM orders GROUP BY 1)
+    SELECT row_number() OVER (ORDER BY first, key) - 1 AS flow_id, key, true_x FROM k"""
+)
+def flow_truth(spark, sf_dir):
+    return fl.flow_table(packets.orders(spark, sf_dir)).select("flow_id", "key", "true_x")
+
+
+@query(f'WITH {FLOWS} SELECT flow_id, "row", pos FROM pattern')
+def pattern_matrix(spark, sf_dir):
+    return fl.pattern(fl.flow_table(packets.events(spark, sf_dir)))
+
+
+def _base(spark, sf_dir):
+    p = packets.events(spark, sf_dir)
+    return fl.pattern(fl.flow_table(p)), sketch.flatten(sketch.build_sketch(p))
+
+
+@query(f"WITH {FLOWS} SELECT p.flow_id AS p, q.flow_id AS q, count(*) AS overlap FROM pattern p JOIN pattern q ON p.pos = q.pos AND p.flow_id < q.flow_id GROUP BY 1, 2")
+def overlap_pairs(spark, sf_dir):
+    return fl.overlap(_base(spark, sf_dir)[0])
+
+
+@query(f"WITH {FLOWS} SELECT flow_id, count(DISTINCT pos) AS overlap FROM pattern GROUP BY flow_id")
+def self_overlap(spark, sf_dir):
+    return fl.self_overlap(_base(spark, sf_dir)[0])
+
+
+@query(f"WITH {FLOWS} SELECT pos, count(*) AS load, string_agg(flow_id::VARCHAR, ',' ORDER BY flow_id) AS flows FROM pattern GROUP BY pos")
+def inverse_index(spark, sf_dir):
+    return fl.inverse_index(_base(spark, sf_dir)[0]).select("pos", "load", F.array_join(F.col("flows").cast("array<string>"), ",").alias("flows"))
+
+
+@query(f'WITH {FLOWS}, l AS (SELECT pos, count(*) AS load FROM pattern GROUP BY pos) SELECT pos, load, (sum(load) OVER (ORDER BY pos) - load)::BIGINT AS "offset" FROM l')
+def bucket_load(spark, sf_dir):
+    return fl.offsets(_base(spark, sf_dir)[0])
+
+
+# --- recovery, step by step
+
+
+@query(f"WITH {FLOWS} SELECT flow_id, corr FROM corr")
+def correlation_step0(spark, sf_dir):
+    return steps.correlate(*_base(spark, sf_dir))
+
+
+@query(f"WITH {FLOWS} SELECT flow_id, corr FROM best")
+def best_flow_step0(spark, sf_dir):
+    return steps.best_flow(steps.correlate(*_base(spark, sf_dir)))
+
+
+@query(f"WITH {FLOWS} SELECT flow_id, corr FROM best")
+def partitioned_best_flow(spark, sf_dir):
+    return steps.best_flow_by_parts(steps.correlate(*_base(spark, sf_dir)), 4)
+
+
+def _step1(spark, sf_dir):
+    pattern, y = _base(spark, sf_dir)
+    corr = steps.correlate(pattern, y)
+    return pattern, y, corr, steps.best_flow(corr).select("flow_id", (F.col("corr") / DEFAULT.rows).alias("x"))
+
+
+@query(f"WITH {FLOWS} SELECT flow_id, x FROM step1")
+def omp_step1_coeff(spark, sf_dir):
+    return _step1(spark, sf_dir)[3]
+
+
+@query(f"WITH {FLOWS} SELECT pos, value FROM r1")
+def omp_step1_residual(spark, sf_dir):
+    pattern, y, _, support = _step1(spark, sf_dir)
+    return steps.residual(y, pattern, support)
+
+
+@query(f"WITH {FLOWS} SELECT round(sqrt(sum(value * value)), 3) AS norm FROM r1")
+def omp_step1_norm(spark, sf_dir):
+    pattern, y, _, support = _step1(spark, sf_dir)
+    return steps.norm(steps.residual(y, pattern, support)).select(F.round("norm", 3).alias("norm"))
+
+
+@query(f"WITH {FLOWS} SELECT flow_id, sum(value) AS corr FROM pattern JOIN r1 USING (pos) GROUP BY flow_id")
+def corr_delta_update(spark, sf_dir):
+    pattern, _, corr, support = _step1(spark, sf_dir)
+    return steps.delta_update(corr, pattern, support.withColumnRenamed("x", "dx"))
+
+
+@query(
+    f"""WITH {FLOWS}, s AS (SELECT flow_id FROM corr ORDER BY abs(corr) DESC, flow_id LIMIT 20), own AS (SELECT flow_id, pos FROM pattern JOIN s USING (flow_id)),
+    met AS (SELECT p.flow_id AS p, q.flow_id AS q, count(*) AS n FROM own p JOIN own q USING (pos) GROUP BY 1, 2)
+    SELECT a.flow_id AS p, b.flow_id AS q, coalesce(n, 0) AS overlap FROM s a CROSS JOIN s b LEFT JOIN met ON p = a.flow_id AND q = b.flow_id"""
+)
+def gram_matrix(spark, sf_dir):
+    pattern, y = _base(spark, sf_dir)
+    support = steps.correlate(pattern, y).orderBy(F.abs("corr").desc(), "flow_id").limit(20)
+    return steps.gram(pattern, support)
+
+
+@query(f"WITH {FLOWS} SELECT flow_id, corr AS b FROM corr ORDER BY abs(corr) DESC, flow_id LIMIT 20")
+def rhs_vector(spark, sf_dir):
+    return steps.correlate(*_base(spark, sf_dir)).orderBy(F.abs("corr").desc(), "flow_id").limit(20).withColumnRenamed("corr", "b")
+
+
+@query(f"WITH {FLOWS} SELECT pos, value FROM heavy")
+def heavy_buckets(spark, sf_dir):
+    return steps.heavy_buckets(_base(spark, sf_dir)[1])
+
+
+@query(f"WITH {FLOWS} SELECT pos, value FROM y ORDER BY abs(value) DESC, pos LIMIT 32")
+def topk_buckets(spark, sf_dir):
+    return steps.top_buckets(_base(spark, sf_dir)[1], DEFAULT.heavy_buckets)
+
+
+@query(f"WITH {FLOWS} SELECT flow_id FROM cand")
+def candidate_flows(spark, sf_dir):
+    pattern, y = _base(spark, sf_dir)
+    return steps.candidates(pattern, steps.heavy_buckets(y))
+
+
+@query(f"WITH {FLOWS} SELECT flow_id, corr FROM corr JOIN cand USING (flow_id) ORDER BY abs(corr) DESC, flow_id LIMIT 1")
+def restricted_best_flow(spark, sf_dir):
+    pattern, y = _base(spark, sf_dir)
+    return steps.restricted_best_flow(steps.correlate(pattern, y), steps.candidates(pattern, steps.heavy_buckets(y)))
+
+
+# --- recovery as a whole
+
+_TRUTH = "SELECT user_id AS key, sum(CAST(round(value * 100) AS BIGINT))::BIGINT AS estimate FROM events GROUP BY user_id"
+
+
+def _rounded(df):
+    return df.select("key", F.round("x").cast("bigint").alias("estimate"))
+
+
+@query(_TRUTH)
+def omp_full_recovery(spark, sf_dir):
+    """With a step for each flow the sketch gives back every total."""
+    return _rounded(recovery.recover(packets.events(spark, sf_dir)))
+
+
+@query(_TRUTH)
+def omp_restricted_recovery(spark, sf_dir):
+    return _rounded(recovery.recover(packets.events(spark, sf_dir), restricted=True))
+
+
+@query()
+def omp_topk_recovery(spark, sf_dir):
+    return recovery.recover(packets.events(spark, sf_dir), 10)
+
+
+@query(f"WITH {FLOWS} SELECT flow_id, key, true_x, coalesce(x, 0) AS x, x IS NOT NULL AS selected FROM flows LEFT JOIN step1 USING (flow_id)")
+def omp_distributed(spark, sf_dir):
+    """The loop over partitioned flows, one step of it."""
+    return recovery.recover_distributed(packets.events(spark, sf_dir), 1)
+
+
+@query("SELECT event_type, user_id AS key, sum(CAST(round(value * 100) AS BIGINT))::BIGINT AS estimate FROM events GROUP BY event_type, user_id")
+def omp_grouped(spark, sf_dir):
+    p = packets.table(spark, sf_dir, "events").select("event_type", F.col("event_id").alias("seq"), F.col("user_id").alias("key"), packets.cents("value").alias("weight"))
+    return recovery.recover_grouped(p, "event_type").select("event_type", "key", F.round("x").cast("bigint").alias("estimate"))
+
+
+@query(f"WITH {FLOWS} SELECT flow_id, key, true_x, 0.0::DOUBLE AS abs_err, 0.0::DOUBLE AS rel_err FROM flows WHERE true_x > 0")
+def recovery_error(spark, sf_dir):
+    found = metrics.recovery_error(recovery.recover(packets.events(spark, sf_dir)))
+    return found.filter("true_x > 0").select("flow_id", "key", "true_x", F.round(F.abs("abs_err"), 4).alias("abs_err"), F.round("rel_err", 6).alias("rel_err"))
+
+
+@query("SELECT 0.0::DOUBLE AS mse")
+def recovery_mse(spark, sf_dir):
+    return metrics.recovery_mse(recovery.recover(packets.events(spark, sf_dir))).select(F.round("mse", 6).alias("mse"))
+
+
+@query()
+def recovery_error_topk(spark, sf_dir):
+    return metrics.recovery_error(recovery.recover(packets.events(spark, sf_dir), 10))
+
+
+# --- weights
+
+
+@query(
+    f"""WITH src AS ({EVENTS}) SELECT round(avg(weight), 6) AS mean, min(weight)::DOUBLE AS min, max(weight)::DOUBLE AS max, round(stddev_pop(weight), 6) AS stddev,
+    median(weight)::DOUBLE AS median FROM src"""
+)
+def weight_stats(spark, sf_dir):
+    rows = metrics.weight_stats(packets.events(spark, sf_dir))
+    return rows.select(F.round("mean", 6).alias("mean"), "min", "max", F.round("stddev", 6).alias("stddev"), "median")
+
+
+@query(
+    f"""WITH src AS ({EVENTS}), s AS (SELECT min(weight)::DOUBLE AS lo, max(weight)::DOUBLE AS hi FROM src)
+    SELECT (CASE WHEN hi = lo THEN 1 ELSE least(floor((weight - lo) * 50 / (hi - lo)) + 1, 50) END)::INTEGER AS bin, count(*) AS count FROM src, s GROUP BY 1"""
+)
+def weight_histogram(spark, sf_dir):
+    return metrics.weight_histogram(packets.events(spark, sf_dir))
+
+
+@query(f"WITH src AS ({EVENTS}), c AS (SELECT weight, count(*) AS n FROM src GROUP BY weight) SELECT weight, (sum(n) OVER (ORDER BY weight))::DOUBLE / (sum(n) OVER ())::DOUBLE AS share FROM c")
+def weight_cdf(spark, sf_dir):
+    return metrics.weight_cdf(packets.events(spark, sf_dir))
+
+
+@query(
+    """WITH f AS (SELECT o_custkey, sum(CAST(round(o_totalprice * 100) AS BIGINT))::DOUBLE AS w FROM orders GROUP BY 1),
+    r AS (SELECT w, row_number() OVER (ORDER BY w DESC, o_custkey) AS rn, count(*) OVER () AS n, sum(w) OVER () AS total FROM f)
+    SELECT divisor::INTEGER AS divisor, round(sum(w) FILTER (rn <= n // divisor) * 100 / max(total), 6) AS percent FROM r, (VALUES (10), (5), (2)) d(divisor) GROUP BY divisor"""
+)
+def traffic_concentration(spark, sf_dir):
+    flows = fl.flow_table(packets.orders(spark, sf_dir))
+    return metrics.traffic_concentration(flows).select("divisor", F.round("percent", 6).alias("percent"))
+
+
+# --- generators
+
+N, SEED = 2000, 12345
+
+
+def _generator(distribution: str) -> None:
+    sql = f"SELECT id, ({generators.weight_sql(distribution, N, SEED)})::BIGINT AS weight FROM range({N}) g(id)"
+
+    def generate(spark, sf_dir):
+        return generators.weights(spark, distribution, N, SEED)
+
+    generate.__name__ = f"gen_{distribution}"
+    query(sql)(generate)
+
+
+for _d in generators.DISTRIBUTIONS:
+    if _d != "zipf":
+        _generator(_d)
+
+_ZIPF = f"""WITH ranks AS (SELECT n AS rank, pow(n::DOUBLE, -1.2) AS p FROM range(1, 10001) g(n)),
+    c AS (SELECT rank, CASE WHEN rank = 10000 THEN 1.0 ELSE sum(p) OVER (ORDER BY rank) / sum(p) OVER () END AS high FROM ranks),
+    cdf AS (SELECT rank, high, coalesce(lag(high) OVER (ORDER BY rank), 0) AS low FROM c),
+    u AS (SELECT id, {generators.random_sql("id", SEED, 6)} / {generators.PRIME}.0::DOUBLE AS u FROM range({N}) g(id))"""
+
+
+@query(f"{_ZIPF} SELECT id, floor(least(greatest(100000 / pow(rank::DOUBLE, 1.2), 1.0), 100000.0))::BIGINT AS weight FROM u JOIN cdf ON u > low AND u <= high")
+def gen_zipf(spark, sf_dir):
+    return generators.weights(spark, "zipf", N, SEED)
+
+
+def _key_oracle() -> str:
+    a, b, c = generators.key_sql(SEED)
+    bits = f"xor(xor((({a}) & 65535)::UBIGINT << 48, ({b})::UBIGINT << 16), (({c}) & 65535)::UBIGINT)"
+    return f"SELECT id AS seq, ({bits})::VARCHAR AS key, ({generators.weight_sql('uniform', N, SEED)})::BIGINT AS weight FROM range({N}) g(id)"
+
+
+@query(_key_oracle())
+def gen_packets(spark, sf_dir):
+    rows = generators.packets(spark, "uniform", N, SEED)
+    return rows.select("seq", unsigned_text(F.col("key")).alias("key"), "weight")
+
+
+# --- benchmark results
+
+RUNS = [
+    ("zipf", 10000, 100, "cpu", 120.0), ("zipf", 10000, 100, "cpu", 124.0), ("zipf", 10000, 100, "gpu", 30.0), ("zipf", 10000, 100, "gpu_opt", 12.0),
+    ("zipf", 1000000, 100, "cpu", 9000.0), ("zipf", 1000000, 100, "gpu", 600.0), ("zipf", 1000000, 100, "gpu_opt", 150.0),
+    ("uniform", 10000, 100, "cpu", 110.0), ("uniform", 500000, 50, "gpu", 80.0), ("bimodal", 500000, 100, "cpu", 4000.0),
+]
+_RUNS = "runs(distribution, n, k, impl, time_ms) AS (VALUES " + ", ".join(f"('{d}', {n}::BIGINT, {k}, '{i}', {t}::DOUBLE)" for d, n, k, i, t in RUNS) + ")"
+_SUMMARY = """summary AS (SELECT distribution, n, k, impl, avg(time_ms) AS time_ms, stddev_pop(time_ms) AS stddev_ms, n / (avg(time_ms) / 1000) AS throughput FROM runs GROUP BY distribution, n, k, impl)"""
+_LINES = ["RESULT,zipf,100000,100,cpu,12.345,0.678,8100445", "noise", "RESULT,zipf,1000", "RESULT,uniform,1000,50,gpu,1.500,0.100,666667", "RESULT,uniform,x,50,gpu,1.500,0.100,666667"]
+
+
+def _summary(spark):
+    return metrics.throughput_summary(spark.createDataFrame(RUNS, "distribution string, n bigint, k int, impl string, time_ms double"))
+
+
+@query(f"WITH {_RUNS}, {_SUMMARY} SELECT * FROM summary")
+def throughput_summary(spark, sf_dir):
+    return _summary(spark)
+
+
+@query(f"WITH {_RUNS}, {_SUMMARY} SELECT impl, n, time_ms FROM summary WHERE distribution = 'zipf' AND k = 100")
+def time_by_n(spark, sf_dir):
+    return metrics.time_by_n(_summary(spark), "zipf", 100)
+
+
+@query(
+    f"""WITH {_RUNS}, {_SUMMARY} SELECT distribution, coalesce(max(throughput) FILTER (impl = 'cpu'), 0) AS cpu, coalesce(max(throughput) FILTER (impl = 'gpu'), 0) AS gpu,
+    coalesce(max(throughput) FILTER (impl = 'gpu_opt'), 0) AS gpu_opt FROM summary WHERE n = 10000 AND k = 100 GROUP BY distribution"""
+)
+def throughput_bars(spark, sf_dir):
+    return metrics.throughput_bars(_summary(spark), 10000, 100, ("cpu", "gpu", "gpu_opt"))
+
+
+@query(
+    f"""WITH {_RUNS}, {_SUMMARY}, s AS (SELECT distribution, n, max(time_ms) FILTER (impl = 'cpu') AS cpu, max(time_ms) FILTER (impl = 'gpu') AS gpu FROM summary WHERE k = 100 GROUP BY 1, 2)
+    SELECT distribution, n, coalesce(cpu / gpu, 0) AS speedup FROM s"""
+)
+def speedup_pivot(spark, sf_dir):
+    return metrics.speedup(_summary(spark), 100)
+
+
+@query(f"WITH {_RUNS}, {_SUMMARY} SELECT * FROM summary WHERE n >= 500000 AND distribution = 'zipf'")
+def stress_subset(spark, sf_dir):
+    return metrics.stress(_summary(spark))
+
+
+@query(
+    f"""WITH {_RUNS}, {_SUMMARY} SELECT n, coalesce(max(time_ms) FILTER (impl = 'cpu') / max(time_ms) FILTER (impl = 'gpu_opt'), 0) AS speedup FROM summary
+    WHERE k = 100 AND distribution = 'zipf' AND n IN (10000, 100000, 1000000) GROUP BY n"""
+)
+def report_speedup(spark, sf_dir):
+    return metrics.report_speedup(_summary(spark))
+
+
+@query(
+    """SELECT * FROM (VALUES ('zipf', 100000::BIGINT, 100, 'cpu', 12.345::DOUBLE, 0.678::DOUBLE, 8100445.0::DOUBLE),
+    ('uniform', 1000::BIGINT, 50, 'gpu', 1.5::DOUBLE, 0.1::DOUBLE, 666667.0::DOUBLE)) t(distribution, n, k, impl, time_ms, stddev_ms, throughput)"""
+)
+def result_lines(spark, sf_dir):
+    return results.parse_lines(spark.createDataFrame([(x,) for x in _LINES], "value string"))
+
+
+# --- streams
+
+
+def _event_packets(spark, sf_dir):
+    return packets.as_event_packets(streams.event_stream(spark, sf_dir))
+
+
+@query(f"WITH {cms(EVENTS)} {_SUM}")
+def stream_sketch(spark, sf_dir):
+    return streams.stream_sketch(_event_packets(spark, sf_dir))
+
+
+@query(
+    f"""WITH {cms("SELECT date_trunc('day', ts) AS day, user_id AS key, CAST(round(value * 100) AS BIGINT) AS weight FROM events")}
+    SELECT strftime(day, '%Y-%m-%d') AS day, "row", col, (sum(weight) % 4294967296)::BIGINT AS value FROM p GROUP BY day, "row", col"""
+)
+def stream_windowed_sketch(spark, sf_dir):
+    events = streams.event_stream(spark, sf_dir).select(F.col("user_id").alias("key"), packets.cents("value").alias("weight"), "ts")
+    rows = streams.stream_windowed_sketch(events, "ts", "1 day")
+    return rows.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "row", "col", "value")
+
+
+@query(f"WITH {FLOWS} SELECT flow_id, key, true_x FROM flows")
+def stream_flow_table(spark, sf_dir):
+    return streams.stream_flow_table(_event_packets(spark, sf_dir))
+
+
+@query(f"WITH {bloom(EVENTS)} SELECT DISTINCT min(seq) AS seq FROM p8 GROUP BY i, col")
+def stream_new_flows(spark, sf_dir):
+    return streams.stream_new_flows(_event_packets(spark, sf_dir))
