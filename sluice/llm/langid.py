@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import bounded_batches, strings
+from sluice.llm.common import bounded_batches, held, strings
 
 BUCKETS, ORDERS, MAX_LANGUAGES = 1 << 15, 3, 256
 
@@ -40,11 +40,12 @@ class Model:
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of all texts, two zeros before and after each, and where each text starts."""
+    """Code points of all texts, two zeros before and after each, and where each begins, with the
+    zeros before it: no gram of up to three points that starts in a text's part touches another text."""
     parts, starts, at = [np.zeros(2, np.uint32)], [], 2
     for t in texts:
         a = np.frombuffer(t.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        starts.append(at - 1)
+        starts.append(at - 2)
         parts += [a, np.zeros(2, np.uint32)]
         at += len(a) + 2
     return np.concatenate(parts), np.array(starts, np.int64)
@@ -64,28 +65,17 @@ def score(model: Model, texts: list[str]) -> np.ndarray:
     """Sum of log-probabilities of each text's grams for each language."""
     out = np.zeros((len(texts), len(model.languages)))
     points, starts = grams(texts)
-    bounds = np.append(starts, len(points) - 1)
+    bounds = np.append(starts, len(points) - 2)
     for low in range(int(starts[0]) if len(starts) else 0, int(bounds[-1]), SLICE):
         high = min(low + SLICE, int(bounds[-1]))
         first = int(np.searchsorted(bounds, low, "right")) - 1
         last = int(np.searchsorted(bounds, high, "left"))
         cuts = np.maximum(bounds[first:last], low) - low
-        total = 0.0
         for order in range(1, ORDERS + 1):
-            b = buckets(points[low : high + order - 1], order)
-            total = total + np.add.reduceat(model.weights[b], cuts[cuts < len(b)], axis=0) if len(b) == high - low else total + _padded(model, b, cuts)
-        out[first:last] += total
+            out[first:last] += np.add.reduceat(model.weights[buckets(points[low : high + order - 1], order)], cuts, axis=0)
     return out
 
 
-def _padded(model: Model, b: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    got = np.zeros((len(cuts), len(model.languages)))
-    keep = cuts < len(b)
-    if keep.any():
-        got[keep] = np.add.reduceat(model.weights[b], cuts[keep], axis=0)
-    return got
-
-
 def fit(df: DataFrame, key: str = "doc_id", text: str = "text", language: str = "lang", rows: int = TRAIN_ROWS) -> Model:
     """Learns from rows with text and language, of each language about `rows` at most, by a hash of the key.
 
@@ -131,6 +121,7 @@ def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     schema = ", ".join([f"`{n}` {df.schema[n].dataType.simpleString()}" for n in (key, *carry)] + ["lang_pred string, score double"])
 
     def run(batches):
+        held("langid")
         m = sent.value
         for b in batches:
             texts = strings(b.column(b.num_columns - 1))
