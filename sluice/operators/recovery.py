@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluice.cluster import ship
 from sluice.config import DEFAULT, SketchConfig
 from sluice.operators.flows import flow_table, pattern
 from sluice.operators.sketch import build_sketch, flatten
@@ -168,6 +169,7 @@ def recover_grouped(packets: DataFrame, by: str, most: int | None = None, config
     Packets are summed by group and key, and by group and counter, before they are shuffled to
     their group; a group's task holds its flows and one sketch.
     """
+    ship(packets.sparkSession)
     kind = packets.schema[by].dataType.simpleString()
     totals = packets.groupBy(by, "key").agg(F.sum("weight").cast("double").alias("value"), F.min("seq").alias("seq"))
     flows = totals.select(by, "key", "seq", "value", F.lit(-1).alias("pos"))
@@ -205,6 +207,7 @@ def recover_distributed(packets: DataFrame, most: int, config: SketchConfig = DE
     from pyspark import StorageLevel
 
     spark = packets.sparkSession
+    ship(spark)
     flows = flow_table(packets, config).persist(StorageLevel.MEMORY_AND_DISK_2)
     y = _dense(flatten(build_sketch(packets, config), config).toPandas(), config)
     solver, support = Solver(y, config), []
