@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice.cluster import ship
+
 #: Rows and bytes that one Arrow batch hands to a Python worker at most.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
@@ -15,12 +19,29 @@ BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_held: dict = {}
+
+
+def held(owner: str, key=None, make=lambda: None):
+    """What an operator keeps in a worker process from task to task; taking it lets go of any other operator's."""
+    if _held.get("owner") != (owner, key):
+        _held.clear()
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not glibc
+            pass
+        _held.update(owner=(owner, key), value=make())
+    return _held["value"]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small, so that long texts don't fill a worker (session settings)."""
+    """Keep Arrow batches small, so that long texts don't fill a worker (session settings), and send the workers this package."""
+    ship(spark)
     for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         key = f"spark.sql.execution.arrow.{key}"
         now = int(spark.conf.get(key).rstrip("bB"))
