@@ -16,8 +16,8 @@ occurrences for each hundred bytes, in place of its suffixes.
 3. Triggers that stand in very many different phrases aren't gathered: their windows meet one by
    one, by hash, thinned in their own task before.
 
-Removed ranges then meet the texts. Texts are looked up only for documents that a filter of
-the concerned keys lets through; it is broadcast only up to FILTER_KEYS keys.
+Removed ranges then meet the texts. Texts are sent only for documents that a filter of fixed
+size lets through; where there are too many documents for it, all texts are sent.
 """
 
 from __future__ import annotations
@@ -29,20 +29,20 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.llm.common import bounded_batches, cut
+from sluice.llm.common import bounded_batches, cut, held
 
 #: Bytes of a repeated string, and of a trigger. The hashes below are laid out for these two.
 LENGTH, TRIGGER = 100, 32
 SPAN = LENGTH - TRIGGER + 1  # places of a trigger in a window
 
 #: Text bytes scanned at a time; occurrences thinned at a time; text bytes of a bucket.
-CHUNK, FLUSH, BUCKET_BYTES = 4 << 20, 1_500_000, 96 << 20
+CHUNK, FLUSH, BUCKET_BYTES = 1 << 20, 750_000, 48 << 20
 
 #: Different phrases of a trigger, in one thinning and in all, up to which they are gathered.
 LOCAL_PHRASES, PHRASES = 64, 4096
 
-#: Keys of documents in the broadcast filter at most (10 bits each).
-FILTER_KEYS = 1 << 24
+#: Bits of the broadcast filter of documents (6 MB), tasks that fill it, and the share of set bits beyond which it isn't used.
+FILTER_BITS, FILTER_TASKS, FILTER_FULL = 48_000_000, 12, 0.6
 
 _TABLE = np.random.default_rng(8).integers(1, 1 << 64, 256, dtype=np.uint64)
 _PLACE = np.uint64((1 << 23) - 1)
@@ -403,20 +403,19 @@ def _concerned(a: np.ndarray) -> np.ndarray:
 
 
 class _Filter:
-    """Keys of documents, as a Bloom filter of 10 bits a key."""
+    """Keys of documents, as a Bloom filter."""
 
     HASHES = 5
 
-    def __init__(self, n: int):
-        self.bits = np.zeros(max(64, 10 * n) // 8 + 1, np.uint8)
+    def __init__(self):
+        self.bits = np.zeros(FILTER_BITS // 8, np.uint8)
 
     def _at(self, keys: np.ndarray):
         x = _mix(keys.astype(np.int64).view(np.uint64), _M3)
         y = _mix(x, _M1) | np.uint64(1)
-        size = np.uint64(8 * len(self.bits))
         with np.errstate(over="ignore"):
             for j in range(self.HASHES):
-                at = (x + np.uint64(j) * y) % size
+                at = (x + np.uint64(j) * y) % np.uint64(FILTER_BITS)
                 yield (at >> np.uint64(3)).astype(np.int64), np.left_shift(1, (at & np.uint64(7)).astype(np.int64)).astype(np.uint8)
 
     def add(self, keys: np.ndarray) -> None:
@@ -430,36 +429,24 @@ class _Filter:
         return out
 
 
-def _filter(info: DataFrame, kinds: tuple[int, ...]):
-    """A broadcast filter of the documents that blobs of these kinds concern; None where they are too many."""
-    per = {RANGES: RANGE, ASKS: ASK}
-
-    def count(batches):
-        for b in batches:
-            n = [len(_concerned(_unpack(d, per[k]))) for k, d in zip(b.column(1).to_pylist(), b.column(2).to_pylist()) if k in kinds]
-            yield pa.RecordBatch.from_arrays([pa.array([sum(n)], pa.int64())], names=["n"])
-
-    n = info.filter(F.col("kind").isin(*kinds)).mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0
-    if n > 8 * FILTER_KEYS:  # counted once for each blob a document is in
-        return None
+def _filter(info: DataFrame, kind: int):
+    """A broadcast filter of the documents that blobs of a kind concern; None where they are too many for it."""
+    form = {RANGES: RANGE, ASKS: ASK}[kind]
 
     def gather(batches):
-        f = _Filter(min(n, FILTER_KEYS))
+        f, keys = _Filter(), [np.empty(0, np.int64)]
         for b in batches:
-            for k, d in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                if k in kinds:
-                    f.add(_concerned(_unpack(d, per[k])))
-        words = np.zeros(-(-len(f.bits) // 8) * 8, np.uint8)
-        words[: len(f.bits)] = f.bits
-        words = words.view("<i8")
-        full = np.flatnonzero(words)
-        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(words[full], pa.int64())], names=["at", "word"])
-
-    rows = info.filter(F.col("kind").isin(*kinds)).mapInArrow(gather, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
-    out = _Filter(min(n, FILTER_KEYS))
-    words = np.zeros(-(-len(out.bits) // 8), "<i8")
-    words[rows.column("at").to_numpy()] = rows.column("word").to_numpy()
-    out.bits = words.view(np.uint8)[: len(out.bits)].copy()
+            keys += [_concerned(_unpack(d, form)) for d in b.column(0).to_pylist()]
+            if len(keys) > 5000:
+                keys = [np.unique(np.concatenate(keys))]
+        f.add(np.unique(np.concatenate(keys)))
+        yield pa.RecordBatch.from_arrays([pa.array([zstandard.compress(f.bits.tobytes(), 1)], pa.binary())], names=["bits"])
+
+    out = _Filter()
+    for r in info.filter(F.col("kind") == kind).select("data").coalesce(FILTER_TASKS).mapInArrow(gather, "bits binary").collect():  # FILTER_TASKS rows of fixed size
+        out.bits |= np.frombuffer(zstandard.decompress(r["bits"]), np.uint8)
+    if int(np.bitwise_count(out.bits).sum(dtype=np.int64)) > FILTER_FULL * FILTER_BITS:
+        return None
     return info.sparkSession.sparkContext.broadcast(out)
 
 
@@ -607,17 +594,18 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
 
     def parse(batches):
-        held, n = [], 0
+        held("suffixes")
+        parts, n = [], 0
         for b in batches:
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()]
             for found in occurrences(b.column(0).to_pylist(), texts):
-                held.append(found)
+                parts.append(found)
                 n += len(found)
                 if n >= FLUSH:
-                    yield _thin(np.concatenate(held), buckets)
-                    held, n = [], 0
+                    yield _thin(np.concatenate(parts), buckets)
+                    parts, n = [], 0
         if n:
-            yield _thin(np.concatenate(held), buckets)
+            yield _thin(np.concatenate(parts), buckets)
 
     def decide(batches):
         blobs, rows = _collected(batches), []
@@ -632,9 +620,9 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     first = cut(keyed.select("__doc", "__text").mapInArrow(parse, BLOB).repartitionById(buckets, F.col("bucket")).mapInArrow(decide, BLOB))
     asked = first.filter(F.col("kind") == ASKS)
-    looked = _lookup(asked, _texts(keyed, buckets, _filter(first, (ASKS,)), []), buckets)
+    looked = _lookup(asked, _texts(keyed, buckets, _filter(first, ASKS), []), buckets)
     info = cut(first.filter(F.col("kind") == RANGES).union(_resolve(looked, buckets)))
-    concerned = _filter(info, (RANGES,))
+    concerned = _filter(info, RANGES)
     names = [f"__c{i}" for i in range(len(rest))]
     carried = keyed.select("__doc", "__text", *[F.col(c).alias(n) for c, n in zip(rest, names)])
     kinds = ", ".join(f"`{n}` {df.schema[c].dataType.simpleString()}" for c, n in zip(rest, names))
