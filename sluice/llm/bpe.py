@@ -22,19 +22,19 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from sluice.llm.common import bounded_batches, strings
+from sluice.llm.common import bounded_batches, held, strings
 
 #: Rust's \s, which Python's differs from in U+001C to U+001F.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 #: Pieces whose ids a worker remembers at most; beyond it the memory starts anew.
-MEMO_PIECES = 500_000
+MEMO_PIECES = 250_000
 
 #: Two white-space characters in a row.
 RUN = re.compile(r"\s\s")
 
 #: Pairs of adjacent tokens whose verdict a worker remembers at most.
-MEMO_PAIRS = 2_000_000
+MEMO_PAIRS = 500_000
 
 
 def default_vocabulary() -> str:
@@ -213,16 +213,9 @@ class BytePairEncoder:
         return b"".join(map(self.token.__getitem__, ids))
 
 
-_ENCODERS: dict = {}
-
-
 def encoder(data: bytes, pattern: str) -> BytePairEncoder:
     """One encoder for each vocabulary and worker process."""
-    key = (hash(data), pattern)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = BytePairEncoder(read_ranks(data), pattern)
-    return _ENCODERS[key]
+    return held("bpe", (hash(data), pattern), lambda: BytePairEncoder(read_ranks(data), pattern))
 
 
 def _vocabulary(df: DataFrame, path: str | None):
@@ -231,8 +224,10 @@ def _vocabulary(df: DataFrame, path: str | None):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
-def _carried(df: DataFrame, names: list[str]):
-    return [df.schema[n] for n in names]
+def _lists(found: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.zeros(len(found) + 1, np.int32)
+    np.cumsum([len(x) for x in found], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.empty(0, np.int32)))
 
 
 def encode(df: DataFrame, key: str = "doc_id", text: str = "text", ids: str = "ids", vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -248,15 +243,27 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", ids: str = "i
     def run(batches):
         enc = encoder(data.value, pat)
         for b in batches:
-            found = [enc.encode(t) for t in strings(b.column(1))]
-            offsets = np.zeros(len(found) + 1, np.int32)
-            np.cumsum([len(x) for x in found], out=offsets[1:])
-            flat = np.concatenate(found) if found else np.empty(0, np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=[key, ids])
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists([enc.encode(t) for t in strings(b.column(1))])], names=[key, ids])
 
     return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, `{ids}` array<int>")
 
 
+def encode_and_decode(df: DataFrame, key: str = "doc_id", text: str = "text", ids: str = "ids", out: str = "data", vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
+    """encode() and decode() of its ids in one pass over the texts: key, ids, and the bytes that the ids stand for."""
+    bounded_batches(df.sparkSession)
+    data, pat = _vocabulary(df, vocabulary), pattern or default_pattern()
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches):
+        enc = encoder(data.value, pat)
+        for b in batches:
+            found = [enc.encode(t) for t in strings(b.column(1))]
+            back = pa.array([enc.decode(x.tolist()) for x in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists(found), back], names=[key, ids, out])
+
+    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, `{ids}` array<int>, `{out}` binary")
+
+
 def decode(df: DataFrame, key: str = "doc_id", ids: str = "ids", out: str = "data", vocabulary: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """Key and the bytes that the ids stand for, with the named small columns beside; null ids give empty bytes."""
     bounded_batches(df.sparkSession)
