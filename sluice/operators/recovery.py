@@ -84,6 +84,22 @@ def cholesky_solve(gram: np.ndarray, b: np.ndarray) -> np.ndarray:
     return z
 
 
+def solve_support(gram: DataFrame, rhs: DataFrame) -> DataFrame:
+    """flow_id, x: least squares on a small support, from its Gram matrix (p, q, overlap) and right side (flow_id, b).
+
+    A support is as long as the pursuit has steps; it is solved on the driver by Cholesky.
+    """
+    spark = gram.sparkSession
+    b = {r["flow_id"]: r["b"] for r in rhs.collect()}
+    ids = sorted(b)
+    at = {f: i for i, f in enumerate(ids)}
+    g = np.zeros((len(ids), len(ids)))
+    for r in gram.collect():
+        g[at[r["p"]], at[r["q"]]] = r["overlap"]
+    x = cholesky_solve(g, np.array([b[f] for f in ids], float))
+    return spark.createDataFrame([(f, float(v)) for f, v in zip(ids, x)], "flow_id bigint, x double")
+
+
 @dataclass
 class Recovered:
     x: np.ndarray

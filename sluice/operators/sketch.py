@@ -6,7 +6,7 @@ Packets are exploded to one row a hash and summed or reduced before they are shu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.config import DEFAULT, SketchConfig
@@ -85,6 +85,13 @@ def run_stats(packets: DataFrame, config: SketchConfig = DEFAULT) -> DataFrame:
     return rows.select("processed", "new_flows", "cms_total", "bloom_ones")
 
 
+def dump(packets: DataFrame, config: SketchConfig = DEFAULT) -> DataFrame:
+    """kind (cms or bloom), row, col, value: every cell that isn't zero of both structures."""
+    cms = build_sketch(packets, config).filter("value <> 0").select(F.lit("cms").alias("kind"), "row", "col", "value")
+    bits = bloom_bits(packets, config).select(F.lit("bloom").alias("kind"), F.col("i").alias("row"), "col", F.lit(1).cast("bigint").alias("value"))
+    return cms.unionByName(bits)
+
+
 def point_estimates(keys: DataFrame, sketch: DataFrame, config: SketchConfig = DEFAULT) -> DataFrame:
     """key, estimate: the least of a key's counters (an extension, for comparison with the recovery)."""
     cells = cms_cells(keys.select("key").distinct(), config)

@@ -109,6 +109,14 @@ def run_stats(spark, sf_dir):
     return sketch.run_stats(packets.events(spark, sf_dir))
 
 
+@query(
+    f"""WITH {cms(EVENTS)}, {bloom(EVENTS)}, c AS ({_SUM}) SELECT 'cms' AS kind, "row", col, value FROM c WHERE value <> 0
+    UNION ALL SELECT DISTINCT 'bloom', i, col, 1::BIGINT FROM p8"""
+)
+def sketch_dump(spark, sf_dir):
+    return sketch.dump(packets.events(spark, sf_dir))
+
+
 @query(f"WITH {FLOWS} SELECT key, min(value)::BIGINT AS estimate FROM pattern JOIN y USING (pos) JOIN flows USING (flow_id) GROUP BY key")
 def point_estimates(spark, sf_dir):
     p = packets.events(spark, sf_dir)
@@ -225,6 +233,21 @@ def rhs_vector(spark, sf_dir):
     return steps.correlate(*_base(spark, sf_dir)).orderBy(F.abs("corr").desc(), "flow_id").limit(20).withColumnRenamed("corr", "b")
 
 
+@query()
+def support_solution(spark, sf_dir):
+    """Least squares on the 20 flows that correlate best."""
+    pattern, y = _base(spark, sf_dir)
+    top = steps.correlate(pattern, y).orderBy(F.abs("corr").desc(), "flow_id").limit(20)
+    return recovery.solve_support(steps.gram(pattern, top), top.withColumnRenamed("corr", "b"))
+
+
+@query()
+def support_residual(spark, sf_dir):
+    """What those 20 flows leave of the measurements."""
+    pattern, y = _base(spark, sf_dir)
+    return steps.residual(y, pattern, support_solution(spark, sf_dir))
+
+
 @query(f"WITH {FLOWS} SELECT pos, value FROM heavy")
 def heavy_buckets(spark, sf_dir):
     return steps.heavy_buckets(_base(spark, sf_dir)[1])

@@ -163,6 +163,19 @@ def test_invariants(spark):
     assert all(estimates[k] >= truth[k] for k in truth)
 
 
+def test_support_solution(spark):
+    """A solved support leaves a residual that none of its flows correlates with."""
+    rng = np.random.default_rng(8)
+    p = make(spark, [(i, int(k), int(w)) for i, (k, w) in enumerate(zip(rng.integers(0, 400, 900), rng.integers(1, 50, 900)))])
+    pat, y = flows.pattern(flows.flow_table(p)), sketch.flatten(sketch.build_sketch(p))
+    top = steps.correlate(pat, y).orderBy(F.abs("corr").desc(), "flow_id").limit(25)
+    x = recovery.solve_support(steps.gram(pat, top), top.withColumnRenamed("corr", "b"))
+    left = steps.correlate(pat, steps.residual(y, pat, x)).join(x, "flow_id").agg(F.max(F.abs("corr"))).first()[0]
+    assert left < 1e-6
+    cells = sketch.dump(p).groupBy("kind").count().collect()
+    assert {r.kind for r in cells} == {"cms", "bloom"}
+
+
 def test_config():
     with pytest.raises(ValueError):
         SketchConfig(columns=1000)
