@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import bounded_batches, cut, strings
+from sluice.llm.common import bounded_batches, cut, held, strings
 from sluice.llm.graph import components
 
 SEED = 42
@@ -31,7 +31,7 @@ SEED = 42
 SMALL = 24
 
 #: Pairs compared at a time.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 def hashes(text: str, words: int) -> np.ndarray:
@@ -77,6 +77,7 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", words:
     names = [f"f{i}" for i in range(lanes)]
 
     def run(batches):
+        held("simhash")
         for b in batches:
             got = np.array([fingerprint(t, words, lanes) for t in strings(b.column(1))], np.int64).reshape(-1, lanes)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(got[:, i]) for i in range(lanes))], names=[key, *names])
@@ -224,7 +225,7 @@ def links(classes: DataFrame, most: int, lanes: int = 1) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own), *(pa.array(f[row, i].view(np.int64)) for i in range(lanes))], names=["key", "own", *names])
 
     def meet(batches):
-        held: list = []
+        rows: list = []
         sent = [f"u{i}" for i in range(lanes)] + [f"v{i}" for i in range(lanes)]
 
         def out(cols):
@@ -234,20 +235,20 @@ def links(classes: DataFrame, most: int, lanes: int = 1) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(both[:, i].view(np.int64)) if len(both) else pa.array([], pa.int64()) for i in range(2 * lanes)], names=sent)
 
         for b in batches:
-            held.append([b.column(i).to_numpy(zero_copy_only=False) for i in range(2 + lanes)])
-            if sum(len(h[0]) for h in held) < 200_000:
+            rows.append([b.column(i).to_numpy(zero_copy_only=False) for i in range(2 + lanes)])
+            if sum(len(h[0]) for h in rows) < 200_000:
                 continue
-            cols = [np.ascontiguousarray(np.concatenate(c)) for c in zip(*held)]
+            cols = [np.ascontiguousarray(np.concatenate(c)) for c in zip(*rows)]
             cutoff = int(np.searchsorted(cols[0], cols[0][-1], "left"))  # the last bucket may go on
-            held = [[c[cutoff:] for c in cols]]
+            rows = [[c[cutoff:] for c in cols]]
             if cutoff:
                 yield out([c[:cutoff] for c in cols])
-        if held:
-            yield out([np.ascontiguousarray(np.concatenate(c)) for c in zip(*held)])
+        if rows:
+            yield out([np.ascontiguousarray(np.concatenate(c)) for c in zip(*rows)])
 
-    rows = classes.select(*names).mapInArrow(send, f"key long, own byte, {kind}")
-    rows = rows.repartition("key").sortWithinPartitions("key", "own")
-    got = rows.mapInArrow(meet, ", ".join(f"{e}{i} long" for e in "uv" for i in range(lanes)))
+    sides = classes.select(*names).mapInArrow(send, f"key long, own byte, {kind}")
+    sides = sides.repartition("key").sortWithinPartitions("key", "own")
+    got = sides.mapInArrow(meet, ", ".join(f"{e}{i} long" for e in "uv" for i in range(lanes)))
     return got.select(F.struct(*[F.col(f"u{i}").alias(f"f{i}") for i in range(lanes)]).alias("u"), F.struct(*[F.col(f"v{i}").alias(f"f{i}") for i in range(lanes)]).alias("v"))
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import bounded_batches, cut, strings
+from sluice.llm.common import bounded_batches, cut, held, strings
 
 BUCKETS = 1 << 18
 
@@ -27,12 +27,12 @@ BUCKETS = 1 << 18
 TRAIN_ROWS = 8000
 
 #: Features of a category at most, the least rows that hold one, and its least z-score.
-FEATURES, LEAST_ROWS, LEAST_Z = 800, 4, 6.0
+FEATURES, LEAST_ROWS, LEAST_Z = 800, 3, 4.0
 
 FOLDS, TASKS, STEPS, RATE, PENALTY = 3, 12, 100, 0.2, 1e-4
 
 #: Words whose features a worker remembers at most.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 200_000
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -197,13 +197,8 @@ def predict(chain: Chain, df: DataFrame, text: str = "text") -> Column:
     return score(F.col(text))
 
 
-_MEMO: list = []
-
-
 def _memo(chain: Chain) -> Words:
-    if not _MEMO or _MEMO[0] is not chain:
-        _MEMO[:] = [chain, Words(chain.index)]
-    return _MEMO[1]
+    return held("toxicity", id(chain), lambda: Words(chain.index))
 
 
 #: The chain over `labels`: unfit for its quality, toxic, and either.

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sluice.llm.common import bounded_batches
+from sluice.llm.common import bounded_batches, held
 
 #: Fixed values of the format.
 PACKET, SYNC, CLOCK, WRAP = 188, 0x47, 90_000, 1 << 33
@@ -199,6 +199,7 @@ def write(df: DataFrame, key: str = "doc_id", samples: str = "samples", media: s
     schema = ", ".join([f"`{n}` {df.schema[n].dataType.simpleString()}" for n in (key, *carry)] + [f"`{media}` binary"])
 
     def run(batches):
+        held("transport")
         for b in batches:
             out = [mux(x or b"") for x in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.binary())], names=[key, *carry, media])
