@@ -22,13 +22,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from sluice.llm.common import bounded_batches, held, strings
+from sluice.llm.common import bounded_batches, held, strings, tidy
 
 #: Rust's \s, which Python's differs from in U+001C to U+001F.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 #: Pieces whose ids a worker remembers at most; beyond it the memory starts anew.
-MEMO_PIECES = 250_000
+MEMO_PIECES = 180_000
 
 #: Two white-space characters in a row.
 RUN = re.compile(r"\s\s")
@@ -245,7 +245,7 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", ids: str = "i
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), _lists([enc.encode(t) for t in strings(b.column(1))])], names=[key, ids])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, `{ids}` array<int>")
+    return df.select(key, text).mapInArrow(tidy(run), f"`{key}` {kind}, `{ids}` array<int>")
 
 
 def encode_and_decode(df: DataFrame, key: str = "doc_id", text: str = "text", ids: str = "ids", out: str = "data", vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -261,7 +261,7 @@ def encode_and_decode(df: DataFrame, key: str = "doc_id", text: str = "text", id
             back = pa.array([enc.decode(x.tolist()) for x in found], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), _lists(found), back], names=[key, ids, out])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, `{ids}` array<int>, `{out}` binary")
+    return df.select(key, text).mapInArrow(tidy(run), f"`{key}` {kind}, `{ids}` array<int>, `{out}` binary")
 
 
 def decode(df: DataFrame, key: str = "doc_id", ids: str = "ids", out: str = "data", vocabulary: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -276,4 +276,4 @@ def decode(df: DataFrame, key: str = "doc_id", ids: str = "ids", out: str = "dat
             found = [enc.decode(x) if x else b"" for x in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, pa.binary())], names=[key, *carry, out])
 
-    return df.select(key, *carry, ids).mapInArrow(run, schema)
+    return df.select(key, *carry, ids).mapInArrow(tidy(run), schema)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sluice.cluster import ship
 
 #: Rows and bytes that one Arrow batch hands to a Python worker at most.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 #: A word is a run of anything but space, tab, newline, vertical tab, form feed, return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,15 +22,33 @@ WORD = r"[^\x20\x09-\x0D]+"
 _held: dict = {}
 
 
+def _give_back() -> None:
+    """Freed memory that the allocators keep goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def tidy(run):
+    """A mapInArrow function whose worker, which lives on, gives back a task's memory when the task ends."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return wrapped
+
+
 def held(owner: str, key=None, make=lambda: None):
     """What an operator keeps in a worker process from task to task; taking it lets go of any other operator's."""
     if _held.get("owner") != (owner, key):
         _held.clear()
         gc.collect()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):  # not glibc
-            pass
+        _give_back()
         _held.update(owner=(owner, key), value=make())
     return _held["value"]
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import bounded_batches, held, strings
+from sluice.llm.common import bounded_batches, held, strings, tidy
 
 BUCKETS, ORDERS, MAX_LANGUAGES = 1 << 15, 3, 256
 
@@ -79,7 +79,8 @@ def score(model: Model, texts: list[str]) -> np.ndarray:
 def fit(df: DataFrame, key: str = "doc_id", text: str = "text", language: str = "lang", rows: int = TRAIN_ROWS) -> Model:
     """Learns from rows with text and language, of each language about `rows` at most, by a hash of the key.
 
-    The sample's bound is this parameter; each of its texts is counted whole.
+    The sample's bound is this parameter; each of its texts is counted whole. Of over
+    MAX_LANGUAGES languages the most frequent are learnt, which bounds the matrix.
     """
     bounded_batches(df.sparkSession)
     named = df.filter(F.col(text).isNotNull() & F.col(language).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(language).cast("string").alias("g"))
@@ -102,7 +103,7 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", language: str =
         at, bucket = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(bucket, pa.int32()), pa.array(counts[at, bucket], pa.int64())], names=["at", "bucket", "n"])
 
-    found = sample.mapInArrow(run, "at int, bucket int, n long").groupBy("at", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    found = sample.mapInArrow(tidy(run), "at int, bucket int, n long").groupBy("at", "bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.full((BUCKETS, len(languages)), 0.5)
     at, bucket, n = (found.column(c).to_numpy() for c in ("at", "bucket", "n"))
     np.add.at(counts, (bucket, at), n)
@@ -136,4 +137,4 @@ def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                     names[i], scores[i] = m.languages[at], float(x)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[key, *carry, "lang_pred", "score"])
 
-    return df.select(key, *carry, text).mapInArrow(run, schema)
+    return df.select(key, *carry, text).mapInArrow(tidy(run), schema)

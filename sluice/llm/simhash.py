@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import bounded_batches, cut, held, strings
+from sluice.llm.common import bounded_batches, cut, held, strings, tidy
 from sluice.llm.graph import components
 
 SEED = 42
@@ -82,7 +82,7 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", words:
             got = np.array([fingerprint(t, words, lanes) for t in strings(b.column(1))], np.int64).reshape(-1, lanes)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(got[:, i]) for i in range(lanes))], names=[key, *names])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"{n} long" for n in names))
+    return df.select(key, text).mapInArrow(tidy(run), f"`{key}` {kind}, " + ", ".join(f"{n} long" for n in names))
 
 
 class Ring:
@@ -246,9 +246,9 @@ def links(classes: DataFrame, most: int, lanes: int = 1) -> DataFrame:
         if rows:
             yield out([np.ascontiguousarray(np.concatenate(c)) for c in zip(*rows)])
 
-    sides = classes.select(*names).mapInArrow(send, f"key long, own byte, {kind}")
+    sides = classes.select(*names).mapInArrow(tidy(send), f"key long, own byte, {kind}")
     sides = sides.repartition("key").sortWithinPartitions("key", "own")
-    got = sides.mapInArrow(meet, ", ".join(f"{e}{i} long" for e in "uv" for i in range(lanes)))
+    got = sides.mapInArrow(tidy(meet), ", ".join(f"{e}{i} long" for e in "uv" for i in range(lanes)))
     return got.select(F.struct(*[F.col(f"u{i}").alias(f"f{i}") for i in range(lanes)]).alias("u"), F.struct(*[F.col(f"v{i}").alias(f"f{i}") for i in range(lanes)]).alias("v"))
 
 
@@ -265,7 +265,8 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     me = F.struct(*[F.col(n) for n in names])
     labelled = classes.withColumn("u", me).join(least, "u", "left").select(*names, "rep", F.coalesce("v", "u").alias("label"))
     labelled = cut(labelled)
-    of = labelled.groupBy("label").agg(F.min("rep").alias("component_id"))
+    # cut, so that the join below stands alone and Spark can split a large component
+    of = cut(labelled.groupBy("label").agg(F.min("rep").alias("component_id")))
     found = labelled.join(of, "label").select(*names, "component_id")
     return own.join(found, names).select(key, *names, "component_id")
 

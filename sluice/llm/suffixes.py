@@ -23,20 +23,19 @@ size lets through; where there are too many documents for it, all texts are sent
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.llm.common import bounded_batches, cut, held
+from sluice.llm.common import bounded_batches, cut, held, tidy
 
 #: Bytes of a repeated string, and of a trigger. The hashes below are laid out for these two.
 LENGTH, TRIGGER = 100, 32
 SPAN = LENGTH - TRIGGER + 1  # places of a trigger in a window
 
 #: Text bytes scanned at a time; occurrences thinned at a time; text bytes of a bucket.
-CHUNK, FLUSH, BUCKET_BYTES = 1 << 20, 750_000, 48 << 20
+CHUNK, FLUSH, BUCKET_BYTES = 1 << 19, 500_000, 48 << 20
 
 #: Different phrases of a trigger, in one thinning and in all, up to which they are gathered.
 LOCAL_PHRASES, PHRASES = 64, 4096
@@ -443,7 +442,7 @@ def _filter(info: DataFrame, kind: int):
         yield pa.RecordBatch.from_arrays([pa.array([zstandard.compress(f.bits.tobytes(), 1)], pa.binary())], names=["bits"])
 
     out = _Filter()
-    for r in info.filter(F.col("kind") == kind).select("data").coalesce(FILTER_TASKS).mapInArrow(gather, "bits binary").collect():  # FILTER_TASKS rows of fixed size
+    for r in info.filter(F.col("kind") == kind).select("data").coalesce(FILTER_TASKS).mapInArrow(tidy(gather), "bits binary").collect():  # FILTER_TASKS rows of fixed size
         out.bits |= np.frombuffer(zstandard.decompress(r["bits"]), np.uint8)
     if int(np.bitwise_count(out.bits).sum(dtype=np.int64)) > FILTER_FULL * FILTER_BITS:
         return None
@@ -465,7 +464,7 @@ def _texts(keyed: DataFrame, buckets: int, concerned, carry: list[str]) -> DataF
             data = [press.compress((t or "").encode("utf-8", "surrogatepass")) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.full(len(keys), TEXT, np.int32)), pa.array(data, pa.binary()), b.column(0), *b.columns[2:]], names=["bucket", "kind", "data", "key", *carry])
 
-    return keyed.select("__doc", "__text", *carry).mapInArrow(run, schema)
+    return keyed.select("__doc", "__text", *carry).mapInArrow(tidy(run), schema)
 
 
 def _meeting(info: DataFrame, texts: DataFrame, buckets: int, carry: list[str]) -> DataFrame:
@@ -527,7 +526,7 @@ def _lookup(info: DataFrame, texts: DataFrame, buckets: int) -> DataFrame:
                     size = hot_n = 0
         yield out()
 
-    return _meeting(info, texts, buckets, []).mapInArrow(run, BLOB)
+    return _meeting(info, texts, buckets, []).mapInArrow(tidy(run), BLOB)
 
 
 def _collected(batches):
@@ -559,7 +558,7 @@ def _resolve(asked: DataFrame, buckets: int) -> DataFrame:
         rows += _send(done, RANGES, _doc_hash(done["doc"]), buckets)
         yield _batch(rows)
 
-    return asked.repartitionById(buckets, F.col("bucket")).mapInArrow(run, BLOB)
+    return asked.repartitionById(buckets, F.col("bucket")).mapInArrow(tidy(run), BLOB)
 
 
 def _keyed(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -579,9 +578,11 @@ def _keyed(df: DataFrame, key: str, text: str) -> DataFrame:
     return rows.withColumn("__doc", F.shiftleft(top, 16) + F.col("__sub")).select(*df.columns, "__doc", "__text")
 
 
-def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", as_text: bool = False) -> DataFrame:
     """df's columns but the text, with __kept (its remaining bytes) and __spans (start and end of each removed run).
 
+    as_text: __kept is a string, without the bytes of code points that were cut in two.
+
     Documents are ordered by key, null keys last. A null text is empty. A repeated row is no
     earlier document than its twin: both are judged alike. Different texts with one key follow
     each other in the order of a hash. Texts are UTF-8 bytes; matches never cross documents.
@@ -618,7 +619,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
                 rows = []
         yield _batch(rows)
 
-    first = cut(keyed.select("__doc", "__text").mapInArrow(parse, BLOB).repartitionById(buckets, F.col("bucket")).mapInArrow(decide, BLOB))
+    first = cut(keyed.select("__doc", "__text").mapInArrow(tidy(parse), BLOB).repartitionById(buckets, F.col("bucket")).mapInArrow(tidy(decide), BLOB))
     asked = first.filter(F.col("kind") == ASKS)
     looked = _lookup(asked, _texts(keyed, buckets, _filter(first, ASKS), []), buckets)
     info = cut(first.filter(F.col("kind") == RANGES).union(_resolve(looked, buckets)))
@@ -646,22 +647,23 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
                     runs.append([{"start": x, "end": y} for x, y in zip(s, e)])
                 else:
                     runs.append([])
-                kept.append(data)
-            yield pa.RecordBatch.from_arrays([*b.columns[4:], pa.array(kept, pa.binary()), pa.array(runs, spans)], names=[*names, "__kept", "__spans"])
+                kept.append(data.decode("utf-8", "ignore") if as_text else data)
+            yield pa.RecordBatch.from_arrays([*b.columns[4:], pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(runs, spans)], names=[*names, "__kept", "__spans"])
 
-    out_schema = (kinds + ", " if kinds else "") + "__kept binary, __spans array<struct<start:bigint,end:bigint>>"
+    kept_kind = "string" if as_text else "binary"
+    out_schema = (kinds + ", " if kinds else "") + f"__kept {kept_kind}, __spans array<struct<start:bigint,end:bigint>>"
     texts = _texts(carried, buckets, concerned, names)
-    changed = _meeting(info, texts, buckets, names).mapInArrow(remove, out_schema)
+    changed = _meeting(info, texts, buckets, names).mapInArrow(tidy(remove), out_schema)
     if concerned is not None:
-        whole = carried.filter(~_has(concerned)(F.col("__doc"))).select(*names, F.coalesce("__text", F.lit("")).cast("binary").alias("__kept"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("__spans"))
+        whole = carried.filter(~_has(concerned)(F.col("__doc"))).select(*names, F.coalesce("__text", F.lit("")).cast(kept_kind).alias("__kept"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("__spans"))
         changed = changed.unionByName(whole)
     return changed.select(*[F.col(n).alias(c) for c, n in zip(rest, names)], "__kept", "__spans")
 
 
 def _has(concerned):
-    @F.pandas_udf("boolean")
-    def has(keys: pd.Series) -> pd.Series:
-        return pd.Series(concerned.value.has(keys.to_numpy(np.int64)))
+    @F.arrow_udf("boolean")
+    def has(keys: pa.Array) -> pa.Array:
+        return pa.array(concerned.value.has(keys.to_numpy(zero_copy_only=False)))
 
     return has
 
@@ -672,17 +674,8 @@ def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     Bytes of a code point that is cut in two go with it; n_chars, where there is such a column,
     follows the text. A text without repeats stays as it is, null too.
     """
-    got = remove_repeats(df.withColumn("__was", F.col(text).isNull()), key, text)
-    clean = F.decode(F.col("__kept"), "UTF-8")
-    clean = F.when(F.col("__was"), F.lit(None)).when(F.size("__spans") == 0, clean).otherwise(_decoded()(F.col("__kept")))
+    got = remove_repeats(df.withColumn("__was", F.col(text).isNull()), key, text, as_text=True)
+    clean = F.when(F.col("__was"), F.lit(None)).otherwise(F.col("__kept"))
     got = got.withColumn("__clean", clean)
     types = {f.name: f.dataType for f in df.schema}
     return got.select(*[F.col("__clean").alias(c) if c == text else F.length("__clean").cast(types[c]).alias(c) if c == "n_chars" else F.col(c) for c in df.columns])
-
-
-def _decoded():
-    @F.pandas_udf("string")
-    def text(data: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else bytes(x).decode("utf-8", "ignore") for x in data])
-
-    return text

@@ -14,7 +14,6 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +31,7 @@ FEATURES, LEAST_ROWS, LEAST_Z = 800, 3, 4.0
 FOLDS, TASKS, STEPS, RATE, PENALTY = 3, 12, 100, 0.2, 1e-4
 
 #: Words whose features a worker remembers at most.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 120_000
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -189,10 +188,12 @@ def predict(chain: Chain, df: DataFrame, text: str = "text") -> Column:
     bounded_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(chain)
 
-    @F.pandas_udf(", ".join(f"`{c}` double" for c in chain.categories))
-    def score(parts: "pd.Series") -> "pd.DataFrame":
-        words = _memo(sent.value)
-        return pd.DataFrame(probabilities(sent.value, words, [t or "" for t in parts]), columns=list(sent.value.categories))
+    kinds = ", ".join(f"`{c}` double" for c in chain.categories)
+
+    @F.arrow_udf(kinds)
+    def score(part: pa.Array) -> pa.Array:
+        p = probabilities(sent.value, _memo(sent.value), strings(part))
+        return pa.StructArray.from_arrays([pa.array(p[:, i]) for i in range(p.shape[1])], names=list(sent.value.categories))
 
     return score(F.col(text))
 

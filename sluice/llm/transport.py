@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sluice.llm.common import bounded_batches, held
+from sluice.llm.common import bounded_batches, held, tidy
 
 #: Fixed values of the format.
 PACKET, SYNC, CLOCK, WRAP = 188, 0x47, 90_000, 1 << 33
@@ -204,7 +204,7 @@ def write(df: DataFrame, key: str = "doc_id", samples: str = "samples", media: s
             out = [mux(x or b"") for x in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.binary())], names=[key, *carry, media])
 
-    return df.select(key, *carry, samples).mapInArrow(run, schema)
+    return df.select(key, *carry, samples).mapInArrow(tidy(run), schema)
 
 
 UNITS = pa.list_(pa.struct([("pts", pa.int64()), ("offset", pa.int64()), ("random_access", pa.bool_())]))
@@ -235,4 +235,4 @@ def read(df: DataFrame, key: str = "doc_id", media: str = "media", samples: str
                 names=[key, *carry, samples, "units", *fixed, "level", "rms"],
             )
 
-    return df.select(key, *carry, media).mapInArrow(run, schema)
+    return df.select(key, *carry, media).mapInArrow(tidy(run), schema)
