@@ -34,24 +34,29 @@ class Solver:
     def __init__(self, y: np.ndarray, config: SketchConfig = DEFAULT):
         self.y, self.r, self.config = y, y.copy(), config
         self.positions = np.empty((0, config.rows), np.int64)
-        self.inverse, self.rhs, self.x = np.empty((0, 0)), np.empty(0), np.empty(0)
+        self.inverse, self.rhs, self.x = np.zeros((64, 64)), np.empty(0), np.empty(0)  # room is doubled when it is used up
 
     def add(self, positions: np.ndarray) -> bool:
         """Takes a flow in; False where it can't be told from those taken (it then weighs 0)."""
         k = len(self.x)
         v = (self.positions == positions).sum(axis=1).astype(float)
-        w = self.inverse @ v
+        inverse = self.inverse[:k, :k]
+        w = inverse @ v
         pivot = float(len(positions)) - float(v @ w)
         if pivot <= self.config.least_pivot:
             return False
-        grown = np.empty((k + 1, k + 1))
-        grown[:k, :k] = self.inverse + np.outer(w, w) / pivot
-        grown[k, :k] = grown[:k, k] = -w / pivot
-        grown[k, k] = 1 / pivot
-        self.inverse = grown
+        if k == len(self.inverse):
+            grown = np.zeros((2 * k, 2 * k))
+            grown[:k, :k] = inverse
+            self.inverse = grown
+            inverse = grown[:k, :k]
+        near = np.flatnonzero(w)  # few flows share counters, so most of the update is zero
+        inverse[np.ix_(near, near)] += np.outer(w[near], w[near] / pivot)
+        self.inverse[k, :k] = self.inverse[:k, k] = -w / pivot
+        self.inverse[k, k] = 1 / pivot
         self.positions = np.vstack([self.positions, positions])
         self.rhs = np.append(self.rhs, self.y[positions].sum())
-        self.x = self.inverse @ self.rhs
+        self.x = self.inverse[: k + 1, : k + 1] @ self.rhs
         explained = np.bincount(self.positions.ravel(), weights=np.repeat(self.x, self.config.rows), minlength=len(self.y))
         self.r = self.y - explained
         return True
