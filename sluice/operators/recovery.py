@@ -41,7 +41,8 @@ class Solver:
         k = len(self.x)
         v = (self.positions == positions).sum(axis=1).astype(float)
         inverse = self.inverse[:k, :k]
-        w = inverse @ v
+        met = np.flatnonzero(v)  # few flows share counters, so nearly all of the update is zero
+        w = inverse[:, met] @ v[met]
         pivot = float(len(positions)) - float(v @ w)
         if pivot <= self.config.least_pivot:
             return False
@@ -50,19 +51,20 @@ class Solver:
             grown[:k, :k] = inverse
             self.inverse = grown
             inverse = grown[:k, :k]
-        near = np.flatnonzero(w)  # few flows share counters, so most of the update is zero
+        near = np.flatnonzero(w)
         inverse[np.ix_(near, near)] += np.outer(w[near], w[near] / pivot)
         self.inverse[k, :k] = self.inverse[:k, k] = -w / pivot
         self.inverse[k, k] = 1 / pivot
         self.positions = np.vstack([self.positions, positions])
         self.rhs = np.append(self.rhs, self.y[positions].sum())
-        self.x = self.inverse[: k + 1, : k + 1] @ self.rhs
+        new = (self.rhs[k] - v[met] @ self.x[met]) / pivot
+        self.x = np.append(self.x - w * new, new)
         explained = np.bincount(self.positions.ravel(), weights=np.repeat(self.x, self.config.rows), minlength=len(self.y))
         self.r = self.y - explained
         return True
 
     def norm(self) -> float:
-        return float(np.sqrt(self.r @ self.r))
+        return float(np.sqrt(np.square(self.r).sum()))
 
 
 def cholesky(gram: np.ndarray, least_pivot: float = DEFAULT.least_pivot) -> np.ndarray:
