@@ -28,9 +28,10 @@ def components(links: DataFrame) -> DataFrame:
     seen = _sum(now)
     for _ in range(MAX_ROUNDS if seen[0] else 0):
         both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.when(F.col("m") < F.col("u"), F.col("m")).otherwise(F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        # each vertex's least is cut off, so that its join stands alone and Spark can split a star's centre
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.when(F.col("m") < F.col("u"), F.col("m")).otherwise(F.col("u")).alias("m")))
+        large = cut(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         stars = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = cut(stars.union(least.select("u", F.col("m").alias("v"))).distinct())
         found = _sum(now)
