@@ -145,6 +145,23 @@ def op8_repeats(spark, sf_dir):
     )
 
 
+ORACLES["op8_repeats"] = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT doc_id, h, (length(h) // 2)::BIGINT AS n FROM d),
+w AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, 200)) AS s FROM (SELECT doc_id, h, unnest(range(greatest(n - 99, 0))) AS p FROM n)),
+f AS (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS r FROM w),
+g AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS new FROM f WHERE r > 1),
+i AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM g),
+runs AS (SELECT doc_id, k, min(p) AS s, max(p) + 100 AS e FROM i GROUP BY doc_id, k),
+edges AS (SELECT doc_id, s, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS b FROM runs),
+ends AS (SELECT n.doc_id, n.n, coalesce(max(e), 0) AS b, count(e) AS n_spans, coalesce(sum(e - s), 0) AS n_removed FROM n LEFT JOIN runs USING (doc_id) GROUP BY n.doc_id, n.n),
+parts AS (SELECT doc_id, s AS o, substr(h, 2 * b + 1, 2 * (s - b)) AS part FROM edges JOIN n USING (doc_id)
+  UNION ALL SELECT doc_id, ends.n + 1 AS o, substr(h, 2 * b + 1) AS part FROM ends JOIN n USING (doc_id)),
+kept AS (SELECT doc_id, sha256(unhex(string_agg(part, '' ORDER BY o))) AS kept_sha256 FROM parts GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, n_removed::BIGINT AS n_removed, n_spans::BIGINT AS n_spans, kept_sha256 FROM ends JOIN kept USING (doc_id)
+"""
+
+
 @query
 def op6_token_ids(spark, sf_dir):
     """Every text's ids and the end id, written to files and read back."""
