@@ -28,7 +28,7 @@ from sluice.llm.common import bounded_batches, held, strings, tidy
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 #: Pieces whose ids a worker remembers at most; beyond it the memory starts anew.
-MEMO_PIECES = 180_000
+MEMO_PIECES = 350_000
 
 #: Two white-space characters in a row.
 RUN = re.compile(r"\s\s")
