@@ -76,6 +76,38 @@ def test_keep_one(docs, none):
     assert simhash.keep_one(none).count() == 0
 
 
+@pytest.mark.parametrize("every", [32, 1])
+def test_near_copies_against_all_pairs(spark, every, monkeypatch):
+    """Pairs just over, at and just under the index 0.8, chains of them, and a shingle that most texts share."""
+    monkeypatch.setattr(simhash, "COMMON_EVERY", every)
+    rng = np.random.default_rng(8)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = []
+    for i in range(150):
+        base = rng.choice(vocabulary, int(rng.integers(3, 120))).tolist()
+        if i % 2:
+            base = ["one", "line", "that", "many", "texts", "have"] + base
+        texts.append(base)
+        for _ in range(3):
+            x = list(texts[-1] if i % 3 else base)
+            for _ in range(int(rng.integers(0, 4))):
+                x[int(rng.integers(0, len(x)))] = str(rng.choice(vocabulary))
+            cut = int(rng.integers(0, 1 + len(x) // 6))
+            texts.append(x[cut:] or x)
+    # 40 and 32 shingles of which 32 are shared: exactly 0.8; one less: under it
+    line = [f"e{i}" for i in range(44)]
+    texts += [line, line[:36], [f"x{i}" for i in range(44)], [f"x{i}" for i in range(35)]]
+    texts = [" ".join(x) for x in texts]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in texts]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    want = find_components(range(len(texts)), pairs)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r.doc_id: r.component_id for r in simhash.alike(df).collect()} == want
+    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == sorted(set(want.values()))
+    n = len(texts)
+    assert want[n - 3] == want[n - 4] and want[n - 1] != want[n - 2]
+
+
 def test_components(spark):
     rng = np.random.default_rng(3)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(i, i + 1) for i in range(1000, 1100)] + [(2000, i) for i in range(1900, 2300)]
