@@ -25,7 +25,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm.common import bounded_batches, cut, held, tidy
@@ -565,17 +565,15 @@ def _keyed(df: DataFrame, key: str, text: str) -> DataFrame:
     """df with __doc, a number that orders documents and differs for different texts, and __text."""
     doc = F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1))
     rows = df.withColumn("__doc", doc).withColumn("__text", F.col(text))
-    slim = rows.select("__doc", F.xxhash64(F.coalesce("__text", F.lit(""))).alias("__h"))
-    clash = slim.groupBy("__doc").agg(F.count_distinct("__h").alias("n")).filter("n > 1")
-    if clash.isEmpty():
+    told = rows.withColumns({"__null": F.col(key).isNull(), "__h": F.xxhash64(F.coalesce("__text", F.lit("")))})
+    slim = told.select("__null", "__doc", "__h").distinct()
+    if slim.groupBy("__doc").count().filter("count > 1").isEmpty():
         return rows
-    low, high = df.agg(F.min(key), F.max(key)).first()
-    if min(low or 0, -(high or 0)) < -(1 << 46):
-        raise ValueError("a key stands for different texts, and keys leave no room to tell them apart")
-    rank = slim.distinct().withColumn("__sub", F.row_number().over(Window.partitionBy("__doc").orderBy("__h")) - 1)
-    rows = rows.withColumn("__h", F.xxhash64(F.coalesce("__text", F.lit("")))).join(rank, ["__doc", "__h"])
-    top = F.when(F.col(key).isNull(), F.lit(1 << 46)).otherwise(F.col("__doc"))
-    return rows.withColumn("__doc", F.shiftleft(top, 16) + F.col("__sub")).select(*df.columns, "__doc", "__text")
+    # ranges of the whole order, so that one key's texts are spread; the ids rise with partition and place in it
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["__null", "__doc", "__h"]
+    numbers = cut(slim.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__number", F.monotonically_increasing_id()))
+    return told.join(numbers, order).withColumn("__doc", F.col("__number")).select(*df.columns, "__doc", "__text")
 
 
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", as_text: bool = False) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests_llm_helpers import prose, rows
 from sluice.llm import suffixes
@@ -123,3 +124,22 @@ def test_dictionary(seed):
                 want |= {(doc, at + p + i) for i in range(100)}
             seen.add(w)
     assert covered == want
+
+
+def test_more_texts_of_a_key_than_16_bits(spark):
+    n = 70_000
+    df = spark.range(n).select(F.lit(5).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    df = df.union(spark.createDataFrame([(6, "a"), (6, "a"), (6, "b"), (None, "c"), (4, "d"), ((1 << 63) - 1, "c"), (-(1 << 63), "e")], "doc_id bigint, text string"))
+    rows = suffixes._keyed(df, "doc_id", "text").select("doc_id", "__doc", "text").collect()
+    assert len(rows) == n + 7
+    assert len({(r.doc_id, r.text) for r in rows}) == len({r["__doc"] for r in rows}) == n + 6
+    inorder = [r.doc_id for r in sorted(rows, key=lambda r: r["__doc"])]
+    assert inorder == sorted(inorder, key=lambda k: (k is None, k or 0))
+
+
+def test_texts_of_one_key_beside_large_keys(spark):
+    """A key of many texts takes nothing from the next key's text; keys may be of any size."""
+    big, x, y = 1 << 60, "".join(f"{i:04x}" for i in range(100)), "".join(f"{i:04x}" for i in range(500, 600))
+    df = spark.createDataFrame([(big, x), (big, "other"), (big + 1, x + y), (-big, y)], "doc_id bigint, text string")
+    got = {(r.doc_id, bytes(r["__kept"])) for r in suffixes.remove_repeats(df).collect()}
+    assert got == {(big, x.encode()), (big, b"other"), (big + 1, b""), (-big, y.encode())}
