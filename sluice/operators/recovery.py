@@ -221,10 +221,10 @@ def positions_of(keys: np.ndarray, config: SketchConfig = DEFAULT) -> np.ndarray
     return np.stack(out, axis=1)
 
 
-def recover_distributed(packets: DataFrame, most: int, config: SketchConfig = DEFAULT) -> DataFrame:
+def recover_distributed(packets: DataFrame, most: int | None = None, config: SketchConfig = DEFAULT) -> DataFrame:
     """The same with flows left on the executors: a job a step finds each partition's best, and the driver the best of those.
 
-    What travels is a residual of fixed size to the tasks and a row a partition back. For flows
+    most: steps at most (None: as many as flows). What travels is a residual of fixed size to the tasks and a row a partition back. For flows
     beyond LOCAL_FLOWS; a job's start costs more than the driver's whole loop for fewer.
     """
     from pyspark import StorageLevel
@@ -234,7 +234,7 @@ def recover_distributed(packets: DataFrame, most: int, config: SketchConfig = DE
     flows = flow_table(packets, config).persist(StorageLevel.MEMORY_AND_DISK_2)
     y = _dense(flatten(build_sketch(packets, config), config).toPandas(), config)
     solver, support = Solver(y, config), []
-    for _ in range(most):
+    for _ in range(flows.count() if most is None else most):
         sent = spark.sparkContext.broadcast((solver.r, np.array(sorted(support), np.int64)))
 
         def best(batches: Iterator[pa.RecordBatch]):

@@ -149,6 +149,16 @@ def test_modes_agree(spark):
     assert all(round(r.x) == r.true_x for r in full.values())
 
 
+def test_distributed_recovery_takes_a_step_for_each_flow(spark):
+    from sluice.plans.registry import QUERIES
+
+    got = QUERIES["omp_distributed_recovery"](spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == 15 and all(r.estimate > 0 for r in got)
+    p = make(spark, [(i, i % 9, 1 + i % 5) for i in range(40)])
+    rows = recovery.recover_distributed(p).collect()
+    assert len(rows) == 9 and all(r.selected and round(r.x) == r.true_x for r in rows)
+
+
 def test_invariants(spark):
     rng = np.random.default_rng(6)
     p = make(spark, [(i, int(k), int(w)) for i, (k, w) in enumerate(zip(rng.integers(0, 300, 900), rng.integers(1, 50, 900)))])
