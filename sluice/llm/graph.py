@@ -5,16 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import cut
+from sluice.llm.common import cut_plain
 
 MAX_ROUNDS = 60
 
 
 def _sum(df: DataFrame) -> tuple:
+    """Differs for most different tables; equal ones have the same."""
     r = df.agg(F.count("*").alias("n"), F.sum((F.xxhash64("u", "v") % 1_000_003).cast("long")).alias("s")).first()
     return r["n"], r["s"]
 
 
+def _same(a: DataFrame, b: DataFrame) -> bool:
+    """Whether two tables of distinct rows, as many each, are equal."""
+    return a.join(b, ["u", "v"], "left_anti").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """u, v -> each vertex u that isn't its component's least, with that least vertex v.
 
@@ -24,18 +30,18 @@ def components(links: DataFrame) -> DataFrame:
     be of any ordered type; loops and repeated links do no harm; no links give no rows.
     """
     big, small = F.when(F.col("u") > F.col("v"), F.col("u")).otherwise(F.col("v")), F.when(F.col("u") > F.col("v"), F.col("v")).otherwise(F.col("u"))
-    now = cut(links.filter("u != v").select(big.alias("u"), small.alias("v")).distinct())
+    now = cut_plain(links.filter("u != v").select(big.alias("u"), small.alias("v")).distinct())
     seen = _sum(now)
     for _ in range(MAX_ROUNDS if seen[0] else 0):
         both = now.union(now.select("v", "u"))
         # each vertex's least is cut off, so that its join stands alone and Spark can split a star's centre
-        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.when(F.col("m") < F.col("u"), F.col("m")).otherwise(F.col("u")).alias("m")))
-        large = cut(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        least = cut_plain(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.when(F.col("m") < F.col("u"), F.col("m")).otherwise(F.col("u")).alias("m")))
+        large = cut_plain(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = cut_plain(large.groupBy("u").agg(F.min("v").alias("m")))
         stars = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = cut(stars.union(least.select("u", F.col("m").alias("v"))).distinct())
+        before, now = now, cut_plain(stars.union(least.select("u", F.col("m").alias("v"))).distinct())
         found = _sum(now)
-        if found == seen:
+        if found == seen and _same(now, before):
             return now
         seen = found
     if seen[0]:

@@ -3,7 +3,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from sluice.llm import graph, simhash
+from sluice.llm import copies, graph, simhash
 from tests_llm_helpers import find_components
 
 
@@ -65,7 +65,7 @@ def test_groups(docs, none):
 
 
 def test_keep_one(docs, none):
-    kept = simhash.keep_one(docs)
+    kept = copies.keep_one(docs)
     assert kept.columns == docs.columns
     rows = kept.collect()
     ids = [r.doc_id for r in rows]
@@ -73,13 +73,11 @@ def test_keep_one(docs, none):
     assert ids.count(3) == 1  # repeated rows
     assert 15 in ids and 16 not in ids
     assert ids.count(None) == 2 and {4, 5, 6, 7, 8, 9, 10} <= set(ids)
-    assert simhash.keep_one(none).count() == 0
+    assert copies.keep_one(none).count() == 0
 
 
-@pytest.mark.parametrize("every", [32, 1])
-def test_near_copies_against_all_pairs(spark, every, monkeypatch):
+def test_near_copies_against_all_pairs(spark):
     """Pairs just over, at and just under the index 0.8, chains of them, and a shingle that most texts share."""
-    monkeypatch.setattr(simhash, "COMMON_EVERY", every)
     rng = np.random.default_rng(8)
     vocabulary = [f"w{i}" for i in range(3000)]
     texts = []
@@ -102,8 +100,8 @@ def test_near_copies_against_all_pairs(spark, every, monkeypatch):
     pairs = [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
     want = find_components(range(len(texts)), pairs)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    assert {r.doc_id: r.component_id for r in simhash.alike(df).collect()} == want
-    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == sorted(set(want.values()))
+    assert {r.doc_id: r.component_id for r in copies.near(df).collect()} == want
+    assert sorted(r.doc_id for r in copies.keep_one(df).collect()) == sorted(set(want.values()))
     n = len(texts)
     assert want[n - 3] == want[n - 4] and want[n - 1] != want[n - 2]
 
@@ -116,3 +114,54 @@ def test_components(spark):
     want = find_components({x for p in pairs for x in p}, pairs)
     assert got == {k: v for k, v in want.items() if k != v}
     assert graph.components(df.filter(F.lit(False))).count() == 0
+
+
+def test_settled_is_exact(spark, monkeypatch):
+    """Tables that agree in count and sum aren't taken for equal."""
+    monkeypatch.setattr(graph, "_sum", lambda df: (df.count(), 0))
+    pairs = [(i, i + 1) for i in range(300)]
+    got = {r.u: r.v for r in graph.components(spark.createDataFrame(pairs, "u long, v long")).collect()}
+    assert got == {i: 0 for i in range(1, 301)}
+
+
+def test_large_groups_of_near_copies(spark):
+    """A group of copies with other words changed in each: no link is lost, and candidates grow as the group does."""
+    rng = np.random.default_rng(5)
+    base = rng.choice([f"w{i}" for i in range(3000)], 300).tolist()
+    texts = []
+    for _ in range(400):
+        x = list(base)
+        for i in rng.integers(0, 300, int(rng.integers(1, 9))):
+            x[int(i)] = f"new{rng.integers(0, 10000)}"
+        texts.append(" ".join(x))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(296)} for t in texts]
+    pairs = [(i, j) for i in range(400) for j in range(i + 1, 400) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    want = find_components(range(400), pairs)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r.doc_id: r.component_id for r in copies.near(df).collect()} == want
+
+
+def test_sparse_links_connect_the_same(monkeypatch):
+    rng = np.random.default_rng(4)
+    for n in (2, 3, 40, 200):
+        x = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        x[: n // 2] = x[0] ^ (np.uint64(1) << rng.integers(0, 64, n // 2, dtype=np.uint64))
+        key = np.zeros(n, np.uint64)
+        ok = np.array([[bool(copies._chains(a ^ b, np.bool_(False))[0]) for b in x] for a in x])
+        want = find_components(range(n), list(zip(*np.nonzero(ok))))
+        for held in (copies.HELD, 0):
+            monkeypatch.setattr(copies, "HELD", held)
+            found = []
+            for a, b, d in copies._pairs(key, x):
+                keep = copies._sparse(a, b, d)
+                assert keep.sum() <= (copies.NEAREST + 1) * n
+                found += zip(a[keep].tolist(), b[keep].tolist())
+            assert find_components(range(n), found) == want
+
+
+def test_keep_one_leaves_columns_alone(spark):
+    df = spark.createDataFrame([(1, "a b c d e f g", "x"), (2, "a b c d e f g", "y")], "`doc_id` long, `text` string, `__k` string")
+    df = df.withColumns({"component_id": F.lit(7), "id": F.lit("i"), "u": F.lit("u")}).withColumnRenamed("u", "a.b")
+    got = copies.keep_one(df)
+    assert got.columns == df.columns
+    assert got.collect() == [df.collect()[0]]
