@@ -269,169 +269,3 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     of = cut(labelled.groupBy("label").agg(F.min("rep").alias("component_id")))
     found = labelled.join(of, "label").select(*names, "component_id")
     return own.join(found, names).select(key, *names, "component_id")
-
-
-#: The pipeline's stage: five-word shingles; texts whose shingle sets have a Jaccard index of 4/5 or more are near copies.
-STAGE_WORDS, STAGE_LEAST = 5, (4, 5)
-
-#: Share of the documents (one in so many) and least number of them that tell common shingles from rare ones, and how many common ones are sent.
-COMMON_EVERY, COMMON_DOCS, COMMON_MOST = 32, 8000, 1 << 20
-
-
-def _shingles(text: str, words: int) -> np.ndarray:
-    return np.unique(hashes(text, words))
-
-
-def _common(df: DataFrame, key: str, text: str, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles (ascending) that a sample of documents holds three times or more, and how often. Bounded by COMMON_MOST."""
-    every = max(1, min(COMMON_EVERY, df.count() // COMMON_DOCS))
-    some = df.filter(F.pmod(F.xxhash64(key, text), F.lit(every)) == 0).select(text)
-
-    def run(batches):
-        held("shingles")
-        for b in batches:
-            h, n = np.unique(np.concatenate([np.empty(0, np.uint64), *(_shingles(t, words) for t in strings(b.column(0)))]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
-
-    counts = some.mapInArrow(tidy(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 2")
-    got = counts.orderBy(F.desc("n"), "h").limit(COMMON_MOST).toArrow()
-    h, n = got.column("h").to_numpy().view(np.uint64), got.column("n").to_numpy()
-    order = np.argsort(h)
-    return h[order], n[order]
-
-
-def _candidates(token: np.ndarray, c: np.ndarray, n: np.ndarray, at: np.ndarray, least: tuple[int, int]):
-    """Pairs of classes, of rows sorted by token, that share one and whose sizes and places in the order allow the index."""
-    p, q = least
-    new = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-    size = np.diff(np.append(new, len(token)))
-    ends = np.repeat(new + size, size)
-    a, shift = np.flatnonzero(ends - np.arange(len(token)) > 1), 1
-    while len(a):
-        b = a + shift
-        rest = np.minimum(n[a] - at[a], n[b] - at[b])  # the shared shingles, if this is the first
-        hit = (p + q) * rest >= p * (n[a] + n[b])
-        u, v = c[a[hit]], c[b[hit]]
-        if len(u):
-            yield np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0)
-        shift += 1
-        a = a[a + shift < ends[a]]
-
-
-def alike(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = STAGE_WORDS, least: tuple[int, int] = STAGE_LEAST) -> DataFrame:
-    """Key and component_id of each row: the least key that can be reached over pairs whose shingle sets have the Jaccard index p/q or more.
-
-    Every such pair is found, and no other is linked. Shingles are in one order, rare ones
-    first. Of two sets with the index p/q each has a common shingle among its first
-    n - ceil(n * p / q) + 1, so sets meet by those. Of 512 parts of the shingles the parities
-    of a set's share differ in no more parts than sets differ in shingles: that spares most of
-    what meets the last step, where sets are compared shingle by shingle.
-    Any order is right; the sample behind it keeps texts from meeting by common shingles. Equal
-    sets are one class. Shingles and classes are known by 64 bits of hash. Rows without words
-    are near no other.
-    """
-    bounded_batches(df.sparkSession)
-    kind = df.schema[key].dataType.simpleString()
-    p, q = least
-    sent = df.sparkSession.sparkContext.broadcast(_common(df, key, text, words))
-
-    def sets(batches):
-        held("shingles")
-        common, often = sent.value
-        for b in batches:
-            cs, ns, heads, parities, wholes = [], [], [], [], []
-            for t in strings(b.column(1)):
-                h = _shingles(t, words)
-                rank = np.zeros(len(h), np.int64)
-                if len(common):
-                    i = np.minimum(np.searchsorted(common, h), len(common) - 1)
-                    rank = np.where(common[i] == h, often[i], 0)
-                first = np.lexsort((h, rank))[: len(h) - -(-len(h) * p // q) + 1]
-                wholes.append(h.tobytes())
-                heads.append(h[first].tobytes())
-                parities.append(np.packbits(np.bincount(h >> np.uint64(55), minlength=512).astype(np.uint8) & 1).tobytes())
-                cs.append(xxhash.xxh3_64_intdigest(wholes[-1], SEED))
-                ns.append(len(h))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(cs, np.uint64).view(np.int64)), pa.array(ns, pa.int64()), pa.array(heads, pa.binary()), pa.array(parities, pa.binary()), pa.array(wholes, pa.binary())], names=[key, "c", "n", "head", "parity", "whole"])
-
-    def send(batches):
-        for b in batches:
-            heads = [np.frombuffer(h, np.int64) for h in b.column(2).to_pylist()]
-            sizes = np.array([len(h) for h in heads], np.int64)
-            token = np.concatenate([np.empty(0, np.int64), *heads])
-            at = np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(token), *(pa.array(np.repeat(b.column(i).to_numpy(), sizes)) for i in range(2)), pa.array(at)], names=["token", "c", "n", "at"])
-
-    def meet(batches):
-        rows: list = []
-
-        def out(cols):
-            for got in _candidates(*cols, least):
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(got[:, i])) for i in range(2)], names=["u", "v"])
-
-        for b in batches:
-            rows.append([b.column(i).to_numpy() for i in range(4)])
-            if sum(len(h[0]) for h in rows) < 200_000:
-                continue
-            cols = [np.concatenate(x) for x in zip(*rows)]
-            cutoff = int(np.searchsorted(cols[0], cols[0][-1], "left"))  # the last bucket may go on
-            rows = [[x[cutoff:] for x in cols]]
-            if cutoff:
-                yield from out([x[:cutoff] for x in cols])
-        if rows:
-            yield from out([np.concatenate(x) for x in zip(*rows)])
-
-    def may(batches):
-        for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(-1, 8) for i in (2, 3))
-            far = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array((p + q) * far <= (q - p) * b.column(4).to_numpy()))
-
-    def verify(batches):
-        whole = np.empty(0, np.uint64)
-        for b in batches:
-            keep = []
-            for v, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                y = np.frombuffer(y, np.uint64)
-                if v is None:  # u's own set, before its pairs
-                    whole = y
-                both = 0 if v is None else len(np.intersect1d(whole, y, assume_unique=True))
-                keep.append(v is not None and (p + q) * both >= p * (len(whole) + len(y)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    own = cut(df.select(key, text).mapInArrow(tidy(sets), f"`{key}` {kind}, c long, n long, head binary, parity binary, whole binary").filter("n > 0"))
-    classes = cut(own.groupBy("c").agg(F.min(key).alias("rep"), F.first("n").alias("n"), F.first("head").alias("head"), F.first("parity").alias("parity")))
-    heads = classes.select("c", "n", "head").mapInArrow(tidy(send), "token long, c long, n long, at long")
-    met = cut(heads.repartition("token").sortWithinPartitions("token").mapInArrow(tidy(meet), "u long, v long").distinct())
-    a, b = classes.select(F.col("c").alias("u"), F.col("n").alias("m"), F.col("parity").alias("x")), classes.select(F.col("c").alias("v"), "n", F.col("parity").alias("y"))
-    pairs = met.join(a, "u").join(b, "v").select("u", "v", "x", "y", (F.col("m") + F.col("n")).alias("n"))
-    pairs = cut(pairs.mapInArrow(tidy(may), "u long, v long"))
-    asked = pairs.select(F.col("u").alias("c")).union(pairs.select("v")).distinct()
-    wholes = cut(own.select("c", "whole").join(asked, "c").groupBy("c").agg(F.first("whole").alias("whole")))
-    firsts = wholes.join(pairs.select(F.col("u").alias("c")).distinct(), "c", "left_semi").select(F.col("c").alias("u"), F.lit(None).cast("long").alias("v"), "whole")
-    sides = firsts.union(pairs.join(wholes.withColumnRenamed("c", "v"), "v").select("u", "v", "whole"))
-    least_of = components(sides.repartition("u").sortWithinPartitions("u", F.col("v").asc_nulls_first()).mapInArrow(tidy(verify), "u long, v long"))
-    labelled = cut(classes.withColumnRenamed("c", "u").join(least_of, "u", "left").select("u", "rep", F.coalesce("v", "u").alias("label")))
-    of = cut(labelled.groupBy("label").agg(F.min("rep").alias("component_id")))
-    found = labelled.join(of, "label").select(F.col("u").alias("c"), "component_id")
-    return own.select(key, "c").join(found, "c").select(key, "component_id")
-
-
-def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = STAGE_WORDS, least: tuple[int, int] = STAGE_LEAST) -> DataFrame:
-    """The rows of df, all columns as they are, with one row of each group of near copies.
-
-    The row with the least key stays. Rows without words or with a null key stay all. Of rows
-    that repeat key and text one stays; a key that stays for one text stays for its others.
-    """
-    from sluice.llm.common import WORD
-
-    wordy = df.filter(F.col(key).isNotNull() & F.coalesce(F.col(text).rlike(WORD), F.lit(False)))
-    found = cut(alike(wordy.select(key, text), key, text, words, least).select(F.col(key).alias("__k"), "component_id"))
-    gone = found.groupBy("__k").agg(F.max(F.col("__k") == F.col("component_id")).alias("stays"), F.count("*").alias("n"))
-    gone = cut(gone)
-    dropped = gone.filter("NOT stays").select("__k")
-    kept = df.join(dropped, (F.col(key) == F.col("__k")) & F.coalesce(F.col(text).rlike(WORD), F.lit(False)), "left_anti")
-    if gone.filter("n > 1").isEmpty():
-        return kept
-    null = kept.filter(F.col(key).isNull())
-    return kept.filter(F.col(key).isNotNull()).dropDuplicates([key, text]).unionByName(null)
