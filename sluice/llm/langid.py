@@ -1,14 +1,14 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Counts of 1- to 3-grams of lower-cased code points are gathered on the executors; the
-log-probabilities, a matrix of buckets by languages, are broadcast (its size is fixed by
-BUCKETS and MAX_LANGUAGES), and texts are scored in numpy, a batch at a time: the buckets
-of all grams of the batch pick rows of the matrix, which are summed for each text.
+log-probabilities, a matrix of buckets by languages, are broadcast, and texts are scored in
+numpy, a batch at a time: the buckets of all grams of the batch pick rows of the matrix, which
+are summed for each text. All languages are learnt. Of over WIDE languages the matrix is sent
+in blocks of WIDE, each a broadcast of its own that a worker scores by before the next.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +18,10 @@ from pyspark.sql import functions as F
 
 from sluice.llm.common import bounded_batches, held, strings, tidy
 
-BUCKETS, ORDERS, MAX_LANGUAGES = 1 << 15, 3, 256
+BUCKETS, ORDERS = 1 << 15, 3
+
+#: Languages of a block of the matrix (64 MB of log-probabilities).
+WIDE = 256
 
 #: Rows of each language that the model learns from at most (a share by a hash of the key).
 TRAIN_ROWS = 2000
@@ -29,8 +32,6 @@ TRAIN_TASKS = 12
 #: Code points that are scored at a time.
 SLICE = 1 << 18
 
-LETTER = re.compile(r"[^\W\d_]")
-
 
 @dataclass(frozen=True)
 class Model:
@@ -38,6 +39,15 @@ class Model:
     weights: np.ndarray  # BUCKETS x languages, log-probabilities
     prior: np.ndarray
 
+    def blocks(self) -> list["Model"]:
+        """The model by WIDE languages each."""
+        return [Model(self.languages[i : i + WIDE], np.ascontiguousarray(self.weights[:, i : i + WIDE]), self.prior[i : i + WIDE]) for i in range(0, len(self.languages), WIDE)]
+
+
+def has_letter(text: str) -> bool:
+    """Letters are what Unicode calls so; numerals and such signs as 1/2 or a superscript aren't."""
+    return any(map(str.isalpha, text))
+
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all texts, two zeros before and after each, and where each begins, with the
@@ -79,29 +89,42 @@ def score(model: Model, texts: list[str]) -> np.ndarray:
 def fit(df: DataFrame, key: str = "doc_id", text: str = "text", language: str = "lang", rows: int = TRAIN_ROWS) -> Model:
     """Learns from rows with text and language, of each language about `rows` at most, by a hash of the key.
 
-    The sample's bound is this parameter; each of its texts is counted whole. Of over
-    MAX_LANGUAGES languages the most frequent are learnt, which bounds the matrix.
+    The sample's bound is this parameter; each of its texts is counted whole. Every language is
+    learnt, so the matrix has a column for each.
     """
     bounded_batches(df.sparkSession)
     named = df.filter(F.col(text).isNotNull() & F.col(language).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(language).cast("string").alias("g"))
-    sizes = {r["g"]: r["count"] for r in named.groupBy("g").count().orderBy(F.desc("count"), "g").limit(MAX_LANGUAGES).collect()}
+    sizes = {r["g"]: r["count"] for r in named.groupBy("g").count().collect()}  # a row for each language
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0))
+    number = {g: i for i, g in enumerate(languages)}
     share = F.create_map(*[F.lit(x) for g in languages for x in (g, min(1.0, rows / sizes[g]))])
     chance = (F.xxhash64("k").bitwiseAND(F.lit((1 << 40) - 1)) / float(1 << 40)).cast("double")
-    sample = named.filter(F.col("g").isin(languages)).filter(chance < share[F.col("g")]).select("g", "t").repartition(TRAIN_TASKS)
+    sample = named.filter(chance < share[F.col("g")]).select("g", "t").repartition(TRAIN_TASKS)
 
     def run(batches):
-        counts = np.zeros((len(languages), BUCKETS), np.int64)
+        counts: dict[int, np.ndarray] = {}
+
+        def out():
+            for i, c in counts.items():
+                bucket = np.flatnonzero(c)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bucket), i, np.int32)), pa.array(bucket.astype(np.int32)), pa.array(c[bucket])], names=["at", "bucket", "n"])
+            counts.clear()
+
         for b in batches:
-            g, t = b.column(0).to_pylist(), strings(b.column(1))
-            for i, one in enumerate(languages):
-                points, _ = grams([x for x, y in zip(t, g) if y == one])
+            of: dict[int, list[str]] = {}
+            for g, t in zip(b.column(0).to_pylist(), strings(b.column(1))):
+                of.setdefault(number[g], []).append(t)
+            for i, texts in of.items():
+                points, _ = grams(texts)
+                if i not in counts:
+                    if len(counts) >= WIDE:
+                        yield from out()
+                    counts[i] = np.zeros(BUCKETS, np.int64)
                 for order in range(1, ORDERS + 1):
                     counts[i] += np.bincount(buckets(points, order), minlength=BUCKETS)
-        at, bucket = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(bucket, pa.int32()), pa.array(counts[at, bucket], pa.int64())], names=["at", "bucket", "n"])
+        yield from out()
 
     found = sample.mapInArrow(tidy(run), "at int, bucket int, n long").groupBy("at", "bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.full((BUCKETS, len(languages)), 0.5)
@@ -112,29 +135,38 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", language: str =
 
 
 def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """Key, carried columns, lang_pred and score (the language's posterior) of each whole text.
+    """Key, carried columns, lang_pred and score (the language's posterior) of each whole text, of any length.
 
     `und` with score 0 for a null text, one without letters, or a model without languages.
-    Ties go to the language that sorts first. Repeated rows and null keys give a row each.
+    Ties go to the language that sorts first. Repeated rows and null keys give a row each; an
+    empty table gives none; columns that aren't named are not carried.
     """
     bounded_batches(df.sparkSession)
-    sent = df.sparkSession.sparkContext.broadcast(model)
+    sent = [df.sparkSession.sparkContext.broadcast(m) for m in model.blocks()]  # buckets x languages each
     schema = ", ".join([f"`{n}` {df.schema[n].dataType.simpleString()}" for n in (key, *carry)] + ["lang_pred string, score double"])
 
     def run(batches):
         held("langid")
-        m = sent.value
         for b in batches:
             texts = strings(b.column(b.num_columns - 1))
-            known = [bool(m.languages and LETTER.search(t)) for t in texts]
+            known = [bool(sent) and has_letter(t) for t in texts]
             names, scores = ["und"] * len(texts), [0.0] * len(texts)
             rows = [i for i, k in enumerate(known) if k]
             if rows:
-                s = score(m, [texts[i] for i in rows]) + m.prior
-                best = s.argmax(axis=1)
-                p = 1 / np.exp(s - s.max(axis=1, keepdims=True)).sum(axis=1)
-                for i, at, x in zip(rows, best, p):
-                    names[i], scores[i] = m.languages[at], float(x)
+                some = [texts[i] for i in rows]
+                top, total, named = np.full(len(rows), -np.inf), np.zeros(len(rows)), [""] * len(rows)
+                for part in sent:
+                    m = part.value
+                    s = score(m, some) + m.prior
+                    best = s.argmax(axis=1)
+                    most = s[np.arange(len(rows)), best]
+                    for i in np.flatnonzero(most > top):
+                        named[i] = m.languages[best[i]]
+                    high = np.maximum(top, most)
+                    total = total * np.exp(top - high) + np.exp(s - high[:, None]).sum(axis=1)
+                    top = high
+                for i, name, x in zip(rows, named, 1 / total):
+                    names[i], scores[i] = name, float(x)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[key, *carry, "lang_pred", "score"])
 
     return df.select(key, *carry, text).mapInArrow(tidy(run), schema)

@@ -90,11 +90,18 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     The mix takes a row's words __rounds times and once more those from __from to __to and from
     __from2 to __to2 (word numbers from 0). `size` names a column of sizes; else words of `text`
     are counted (null: 0). Null sources are one source; rows without words take no part; rows
-    that agree in key and size may trade places; an empty table gives no rows.
+    that agree in key and size may trade places; an empty table gives no rows. Columns of df
+    can't begin with two underscores (rows_of takes any names).
     """
+    if clash := [c for c in df.columns if c.startswith("__")]:
+        raise ValueError(f"columns of this name are made here: {clash}")
     count = F.col(size).cast("long") if size else word_count(F.col(text))
-    sized = df.withColumn("__size", count).withColumn("__source", F.col(source))
-    own = cut(sized.select("__source", F.col(key).alias("__key"), "__size"))
+    sized = df.withColumn("__size", count).withColumn("__source", F.col(source)).withColumn("__key", F.col(key))
+    if size and text not in df.columns:  # rows are small: sizes are worked out once
+        sized = cut(sized)
+        own = sized.select("__source", "__key", "__size")
+    else:
+        own = cut(sized.select("__source", "__key", "__size"))
     sources = targets(own.groupBy("__source").agg(F.sum("__size").alias("__source_size")))
     sources = sainte_lague(sources, [], "__sid", "__target", "__seats").withColumnRenamed("quota", "__source_quota").drop("__seats")
     sources = cut(sources.withColumn("__shards", F.greatest(F.lit(1), F.ceil(F.col("__source_size") / SHARD_WORDS)).cast("long")).withColumnRenamed("__source", "__name"))
@@ -113,7 +120,7 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     blocks = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("__shard_size") / F.col("__block")))
     shards = shards.withColumn("__begin", F.pmod(F.xxhash64("__sid", "__shard", F.lit(seed)), blocks) * F.col("__block"))
     shards = shards.select("__sid", "__shard", "__shard_size", "__rounds", "__rest", "__begin")
-    rows = dealt(sized.withColumn("__key", F.col(key)))
+    rows = dealt(sized)
     rows = rows.join(shards, ["__sid", "__shard"])
     order = Window.partitionBy("__sid", "__shard").orderBy(F.xxhash64("__key", F.lit(seed + 1)), "__key", "__size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("__end", F.sum("__size").over(order)).withColumn("__start", F.col("__end") - F.col("__size"))
@@ -137,8 +144,15 @@ def rows_of(df: DataFrame, key: str = "doc_id", text: str = "text", source: str
     """The mix itself: rows with df's columns, each as often as it is taken whole, and its taken part, if any, as one more.
 
     A part's text is its words with the white space after each but the last; n_chars, where
-    there is such a column, follows the text.
+    there is such a column, follows the text. Columns may have any names; others than these stay
+    as they are. Null and empty texts have no words and go; repeated rows count as often as they
+    stand; an empty table gives no rows; texts of any length are cut at words.
     """
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return _rows_of(df.toDF(*names.values()), *(names[c] for c in (key, text, source)), names.get("n_chars"), seed).toDF(*df.columns)
+
+
+def _rows_of(df: DataFrame, key: str, text: str, source: str, length: str | None, seed: int) -> DataFrame:
     mixed = mix(df, key, text, source, seed=seed)
     words = F.regexp_extract_all(F.col(text), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
     some = F.col("__to") - F.col("__from") + F.col("__to2") - F.col("__from2")
@@ -147,4 +161,4 @@ def rows_of(df: DataFrame, key: str = "doc_id", text: str = "text", source: str
     texts = F.concat(F.array_repeat(F.col(text), F.col("__rounds").cast("int")), F.when((some > 0) & (some == F.col("__size")), F.array(F.col(text))).when(some > 0, F.array(part)).otherwise(F.array().cast("array<string>")))
     out = mixed.withColumn("__texts", texts).filter((F.size("__texts") > 0) & (F.col("__size") > 0)).withColumn("__one", F.explode("__texts"))
     kinds = {f.name: f.dataType for f in df.schema}
-    return out.select(*[F.col("__one").alias(c) if c == text else F.length("__one").cast(kinds[c]).alias(c) if c == "n_chars" else F.col(c) for c in df.columns])
+    return out.select(*[F.col("__one").alias(c) if c == text else F.length("__one").cast(kinds[c]).alias(c) if c == length else F.col(c) for c in df.columns])

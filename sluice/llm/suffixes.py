@@ -670,10 +670,14 @@ def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """df with repeated passages taken out of its texts, all columns as they were.
 
     Bytes of a code point that is cut in two go with it; n_chars, where there is such a column,
-    follows the text. A text without repeats stays as it is, null too.
+    follows the text. A text without repeats stays as it is, null too. Columns may have any names.
+    Null keys come last; repeated rows are judged alike; an empty table gives no rows.
     """
-    got = remove_repeats(df.withColumn("__was", F.col(text).isNull()), key, text, as_text=True)
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    rows = df.toDF(*names.values())
+    k, t, length = names[key], names[text], names.get("n_chars")
+    got = remove_repeats(rows.withColumn("__was", F.col(t).isNull()), k, t, as_text=True)
     clean = F.when(F.col("__was"), F.lit(None)).otherwise(F.col("__kept"))
     got = got.withColumn("__clean", clean)
-    types = {f.name: f.dataType for f in df.schema}
-    return got.select(*[F.col("__clean").alias(c) if c == text else F.length("__clean").cast(types[c]).alias(c) if c == "n_chars" else F.col(c) for c in df.columns])
+    types = {f.name: f.dataType for f in rows.schema}
+    return got.select(*[F.col("__clean").alias(c) if c == t else F.length("__clean").cast(types[c]).alias(c) if c == length else F.col(c) for c in rows.columns]).toDF(*df.columns)

@@ -9,6 +9,7 @@ sample of labelled rows; it scores every word of every text.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from dataclasses import dataclass
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import bounded_batches, cut, held, strings
+from sluice.llm.common import bounded_batches, column, cut, held, strings
 
 BUCKETS = 1 << 18
 
@@ -65,6 +66,13 @@ class Chain:
     bias: np.ndarray
     thresholds: np.ndarray
 
+    def digest(self) -> str:
+        """Names the chain by what it holds."""
+        h = hashlib.sha256(repr((self.categories, sorted(self.index.items()))).encode())
+        for a in (self.weights, self.links, self.bias, self.thresholds):
+            h.update(np.ascontiguousarray(a, np.float64).tobytes())
+        return h.hexdigest()
+
 
 def _text_features(words: Words, text: str) -> list[int]:
     return sorted(set().union(*map(words.__getitem__, set(WORD.findall(text.lower())))))
@@ -184,36 +192,44 @@ def probabilities(chain: Chain, words: Words, texts: list[str]) -> np.ndarray:
 
 
 def predict(chain: Chain, df: DataFrame, text: str = "text") -> Column:
-    """A struct of each category's probability for the whole text; null counts as empty."""
+    """A struct of each category's probability for the whole text.
+
+    A null text counts as empty. Repeated rows get the same, an empty table gives no rows, and
+    texts of any length are scored whole.
+    """
     bounded_batches(df.sparkSession)
-    sent = df.sparkSession.sparkContext.broadcast(chain)
+    sent, name = df.sparkSession.sparkContext.broadcast(chain), chain.digest()
 
     kinds = ", ".join(f"`{c}` double" for c in chain.categories)
 
     @F.arrow_udf(kinds)
     def score(part: pa.Array) -> pa.Array:
-        p = probabilities(sent.value, _memo(sent.value), strings(part))
+        p = probabilities(sent.value, _memo(sent.value, name), strings(part))
         return pa.StructArray.from_arrays([pa.array(p[:, i]) for i in range(p.shape[1])], names=list(sent.value.categories))
 
-    return score(F.col(text))
+    return score(column(text))
 
 
-def _memo(chain: Chain) -> Words:
-    return held("toxicity", id(chain), lambda: Words(chain.index))
+def _memo(chain: Chain, name: str) -> Words:
+    return held("toxicity", name, lambda: Words(chain.index))
 
 
-#: The chain over `labels`: unfit for its quality, toxic, and either.
-CATEGORIES = ("junk", "toxic", "unfit")
+#: The chain over `labels`: of low quality, then toxic.
+CATEGORIES = ("junk", "toxic")
 
 
 def label_categories(labels: DataFrame) -> DataFrame:
     """The chain's categories from a table with quality and toxic (0 or 1)."""
     junk, toxic = (F.col("quality") == 0).cast("int"), (F.col("toxic") == 1).cast("int")
-    return labels.select("doc_id", junk.alias("junk"), toxic.alias("toxic"), F.greatest(junk, toxic).alias("unfit"))
+    return labels.select("doc_id", junk.alias("junk"), toxic.alias("toxic"))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, p_junk, p_toxic, p_unfit and rejected (toxic at or over the chain's threshold) of each row."""
+    """doc_id, p_junk, p_toxic and rejected (toxic at or over the chain's threshold) of each row.
+
+    A null text counts as empty, null doc_ids and repeated rows get a row each, an empty table
+    gives none, texts of any length are scored whole, and no other column is carried.
+    """
     chain = fit(docs, label_categories(labels), CATEGORIES)
     at = float(chain.thresholds[CATEGORIES.index("toxic")])
     got = docs.select("doc_id", predict(chain, docs).alias("p"))
@@ -221,7 +237,10 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs, all columns as they are, whose text isn't toxic."""
+    """The rows of docs, all columns as they are (whatever their names), whose text isn't toxic.
+
+    Null texts count as empty and repeated rows are judged alike. Without labels all rows stay.
+    """
     chain = fit(docs, label_categories(labels), CATEGORIES)
     at = float(chain.thresholds[CATEGORIES.index("toxic")])
     return docs.filter(F.coalesce(predict(chain, docs)["toxic"] < at, F.lit(True)))

@@ -99,7 +99,7 @@ def mux(samples: bytes) -> bytes:
 
 
 class Demuxer:
-    """Takes one stream apart; damage is counted, never raised."""
+    """Takes one stream apart; damage of any kind is counted, never raised."""
 
     def __init__(self):
         self.program = self.pid = self.kind = -1
@@ -145,7 +145,7 @@ class Demuxer:
             size = data[start]
             entry = bool(size and data[start + 1] & 0x40)
             start += 1 + size
-        body = data[start : at + PACKET]
+        body = data[start : at + PACKET]  # empty where the field is longer than the packet
         if pid == self.pid:
             if begins:
                 self._close()
@@ -156,8 +156,11 @@ class Demuxer:
             self._section(pid, body)
 
     def _section(self, pid: int, body: bytes) -> None:
-        body = body[1 + body[0] :]
-        size = 3 + ((body[1] & 0x0F) << 8 | body[2])
+        body = body[1 + body[0] :] if body else b""
+        size = 3 + ((body[1] & 0x0F) << 8 | body[2]) if len(body) > 2 else 0
+        if len(body) < size or size < 12:  # shorter than any table, or cut off
+            self.bad_tables += 1
+            return
         body = body[:size]
         if body == PAT and self.map_pid == PMT_PID or body == PMT and self.pid == DATA_PID:
             return  # the same table again
@@ -171,7 +174,7 @@ class Demuxer:
                     break
         else:
             i = 12 + ((body[10] & 0x0F) << 8 | body[11])
-            if i < size - 4:
+            if i + 5 <= size - 4:
                 self.kind, self.pid = body[i], (body[i + 1] & 0x1F) << 8 | body[i + 2]
 
     def _close(self) -> None:
@@ -185,7 +188,7 @@ class Demuxer:
         if length and len(pes) < 6 + length:
             self.gaps += 1  # cut off
             return
-        time = _ticks(pes[9:14]) if pes[7] & 0x80 else -1
+        time = _ticks(pes[9:14]) if pes[7] & 0x80 and pes[8] >= 5 and len(pes) >= 14 else -1
         if self.units and time >= 0:  # beyond the wrap of 33 bits
             time += max(0, -(-(self.units[-1][0] - WRAP // 2 - time) // WRAP)) * WRAP
         self.units.append((time, self.size, self.entry))
@@ -194,7 +197,11 @@ class Demuxer:
 
 
 def write(df: DataFrame, key: str = "doc_id", samples: str = "samples", media: str = "media", carry: tuple[str, ...] = ()) -> DataFrame:
-    """Key, the carried small columns and the stream of each row; null samples count as none."""
+    """Key, the carried small columns and the stream of each row.
+
+    Null samples count as none; repeated rows and null keys give a row each; an empty table gives
+    no rows; samples of any length make one stream; columns that aren't named are not carried.
+    """
     bounded_batches(df.sparkSession)
     schema = ", ".join([f"`{n}` {df.schema[n].dataType.simpleString()}" for n in (key, *carry)] + [f"`{media}` binary"])
 
@@ -213,7 +220,14 @@ FOUND = "program int, pid int, stream_type int, packets bigint, gaps bigint, bad
 
 def read(df: DataFrame, key: str = "doc_id", media: str = "media", samples: str = "samples", carry: tuple[str, ...] = ()) -> DataFrame:
     """Key, carried columns, samples, units (pts, offset, random_access), what the tables said, the
-    damage counted, and the samples' mean and root mean square. Null or damaged media give what is left."""
+    damage counted, and the samples' mean and root mean square.
+
+    Null or damaged media give what is left, and never an error. Repeated rows and null keys give a
+    row each; an empty table gives no rows; streams of any length are read whole. A carried column
+    whose name is one of the results' raises ValueError.
+    """
+    if clash := {c.lower() for c in (key, *carry)} & {c.lower() for c in (samples, "units", "level", "rms", *(x.split()[0] for x in FOUND.split(", ")))}:
+        raise ValueError(f"carried columns clash with the results': {sorted(clash)}")
     bounded_batches(df.sparkSession)
     schema = ", ".join([f"`{n}` {df.schema[n].dataType.simpleString()}" for n in (key, *carry)] + [f"`{samples}` binary, units array<struct<pts:bigint,offset:bigint,random_access:boolean>>, {FOUND}, level double, rms double"])
     fixed = [x.split()[0] for x in FOUND.split(", ")]

@@ -96,3 +96,16 @@ def test_no_words(spark):
     assert [r["__target"] for r in mixing.mix(df).collect()] == [0.0, 0.0]
     assert mixing.rows_of(df).count() == 0
     assert mixing.mix(df).agg(F.sum(mixing.taken())).first()[0] == 0
+
+
+NAMES = ["__size", "__source", "__one", "__key", "__texts", "__shard", "__kept", "__doc", "__was", "__text", "__clean", "__k", "a.b", "size"]
+
+
+def test_any_column_names(spark):
+    df = spark.createDataFrame([(i, "w " * 50, "s", 100, *[f"{n}{i}" for n in NAMES]) for i in range(5)], ["doc_id", "text", "source", "n_chars", *NAMES])
+    got = mixing.rows_of(df)
+    assert got.columns == df.columns
+    for r in got.collect():
+        assert list(r)[4:] == [f"{n}{r.doc_id}" for n in NAMES]
+    with pytest.raises(ValueError, match="made here"):
+        mixing.mix(df.select("doc_id", "text", "source", "__key"))

@@ -143,3 +143,14 @@ def test_texts_of_one_key_beside_large_keys(spark):
     df = spark.createDataFrame([(big, x), (big, "other"), (big + 1, x + y), (-big, y)], "doc_id bigint, text string")
     got = {(r.doc_id, bytes(r["__kept"])) for r in suffixes.remove_repeats(df).collect()}
     assert got == {(big, x.encode()), (big, b"other"), (big + 1, b""), (-big, y.encode())}
+
+
+def test_any_column_names(spark):
+    names = ["__kept", "__doc", "__was", "__text", "__clean", "__spans", "a.b", "bucket", "kind"]
+    passage = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(i, f"{i} {passage}", *[f"{n}{i}" for n in names]) for i in range(4)], ["doc_id", "text", *names])
+    got = suffixes.keep_first(df)
+    assert got.columns == df.columns
+    rows = {r.doc_id: list(r) for r in got.collect()}
+    assert all(rows[i][2:] == [f"{n}{i}" for n in names] for i in range(4))
+    assert len(rows[0][1]) > 200 and all(len(rows[i][1]) < 10 for i in (1, 2, 3))
