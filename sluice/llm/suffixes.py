@@ -1,20 +1,26 @@
 """Removal of repeated passages by prefix-free parsing.
 
-A byte is removed if a string of LENGTH bytes that covers it also starts earlier. Rolling
-hashes of TRIGGER bytes pick, in every window of LENGTH bytes, one trigger: the least hash,
-the first of equal ones. Equal windows have their trigger at the same place. Windows in a row
-with the same trigger make one phrase occurrence, so a document becomes a parse of a few
-occurrences for each hundred bytes, in place of its suffixes.
-
-1. Occurrences meet by trigger and phrase hash, once they have been thinned in their own task.
-   Of equal phrases all but the first are repeats as a whole, and so are the windows in them.
-2. Where a trigger has different phrases, the phrases make a dictionary: each is cut at the
-   trigger, the right parts are sorted (the order of the parse) and so are the reversed left
-   parts (the order of the dictionary's suffixes), with the lengths of common prefixes. Two
-   windows are equal where both their parts are, so each window's first place in corpus order
-   follows from the two orders.
-3. Triggers that stand in very many different phrases aren't gathered: their windows meet one by
-   one, by hash, thinned in their own task before.
+A byte is removed if a string of LENGTH bytes that covers it also starts earlier. Triggers are
+places whose rolling hash over TRIGGER bytes is 0 mod 2^LEVELS. They cut a text into phrases, from
+a trigger's start to the next one's end. Whether a place is a trigger depends on its TRIGGER
+bytes alone, so no end of a phrase begins another (the parse is prefix-free), and equal windows
+of LENGTH bytes have their first trigger at the same place: what lies before it in the window
+is the end of a phrase, the rest is where the parse goes on. A window without a trigger takes
+its first place with the most zero bits in place of one (so the insides of long phrases are cut
+finer). Windows in a row with one trigger make one occurrence, a few for each hundred bytes.
+
+1. Occurrences meet by trigger and content hash, once they have been thinned in their own task.
+   Of equal ones all but the first are repeats as a whole, and so are the windows in them.
+2. Where a trigger has different contents, these are looked up in the texts and combined, in a
+   task for a number of triggers: the contents' phrases make a dictionary, in which each has a
+   rank; what follows a trigger is a row of ranks, the parse. The suffix array of the parse is
+   the order of its rows, with common prefixes from the dictionary; the suffix array of the
+   dictionary, for phrases that end in one trigger, is their order read from the end, with
+   common suffixes. Two windows are equal where both are common for long enough, so each window's
+   first place in corpus order follows from the two arrays. Both are needed only among windows
+   of one trigger, so no array spans the corpus.
+3. Triggers that stand in very many different contents aren't gathered: their windows meet one
+   by one, by hash, thinned in their own task before.
 
 Removed ranges then meet the texts. Texts are sent only for documents that a filter of fixed
 size lets through; where there are too many documents for it, all texts are sent.
@@ -32,6 +38,9 @@ from sluice.llm.common import bounded_batches, cut, held, tidy
 
 #: Bytes of a repeated string, and of a trigger. The hashes below are laid out for these two.
 LENGTH, TRIGGER = 100, 32
+
+#: Zero bits of a trigger's hash.
+LEVELS = 5
 SPAN = LENGTH - TRIGGER + 1  # places of a trigger in a window
 
 #: Text bytes scanned at a time; occurrences thinned at a time; text bytes of a bucket.
@@ -44,6 +53,7 @@ LOCAL_PHRASES, PHRASES = 64, 4096
 FILTER_BITS, FILTER_TASKS, FILTER_FULL = 48_000_000, 12, 0.6
 
 _TABLE = np.random.default_rng(8).integers(1, 1 << 64, 256, dtype=np.uint64)
+_PLACE_BITS = np.uint64(23)
 _PLACE = np.uint64((1 << 23) - 1)
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -98,6 +108,13 @@ def _hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h32, h
 
 
+def _level(h32: np.ndarray) -> np.ndarray:
+    """0 for a trigger, one more for each zero bit that a place's hash lacks to be one."""
+    x = h32 | np.uint64(1 << LEVELS)
+    zeros = np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1))
+    return np.uint64(LEVELS) - zeros.astype(np.uint64)
+
+
 def scan(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Occurrences of texts laid end to end (doc: the text's number), and both hashes of each place."""
     n = len(data)
@@ -105,7 +122,7 @@ def scan(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     if n < LENGTH:
         return np.empty(0, OCCURRENCE), h32, h64
     doc = np.repeat(np.arange(len(starts), dtype=np.int32), np.diff(np.append(starts, n)))
-    c = (h32 & ~_PLACE) | np.arange(len(h32), dtype=np.uint64)
+    c = _level(h32) << _PLACE_BITS | np.arange(len(h32), dtype=np.uint64)
     for s in (1, 2, 4, 8, 16, 32):
         c = np.minimum(c[:-s], c[s:])
     c = np.minimum(c[: n - LENGTH + 1], c[SPAN - 64 : SPAN - 64 + n - LENGTH + 1])
@@ -295,19 +312,71 @@ def _decide(blobs: list[tuple[int, bytes]], buckets: int):
     yield (ASKS, _asks(a[keep], hot[at][keep] if len(a) else 0))
 
 
-def _right_classes(text: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the rows of a byte matrix by key and content, and common prefix with the row before (-1: another key)."""
-    words = np.ascontiguousarray(text).view(">u8")
-    order = np.lexsort((*(words[:, i] for i in range(words.shape[1] - 1, -1, -1)), key))
-    t, k = text[order], key[order]
-    differ = t[1:] != t[:-1]
-    common = np.where(differ.any(axis=1), differ.argmax(axis=1), text.shape[1])
-    common = np.where(k[1:] == k[:-1], common, -1)
-    return order, np.append(-1, common)
+def _sorted(rows: np.ndarray, *more: np.ndarray) -> np.ndarray:
+    """Order of the rows of a byte matrix (whole words wide), then by `more`."""
+    words = np.ascontiguousarray(rows).view(">u8")
+    return np.lexsort((*more[::-1], *(words[:, i] for i in range(words.shape[1] - 1, -1, -1))))
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Common prefix of the rows of two byte matrices."""
+    differ = a != b
+    return np.where(differ.any(axis=1), differ.argmax(axis=1), a.shape[1])
+
+
+def _cut_out(flat: np.ndarray, begin: np.ndarray, size: np.ndarray, width: int, step: int = 1) -> np.ndarray:
+    """Byte matrix of the `size` bytes from `begin` (or before it, backwards, with step -1); zeros after them."""
+    i = np.arange(width)
+    at = begin[:, None] + (i if step > 0 else -1 - i)
+    return np.where(i < size[:, None], flat[np.clip(at, 0, len(flat) - 1)], 0).astype(np.uint8)
+
+
+def dictionary(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranks of pieces of flat among their distinct ones, and those (a byte matrix and sizes), in order."""
+    text = _cut_out(flat, begin, size, -(-LENGTH // 8) * 8)
+    order = _sorted(text, size)
+    t, n = text[order], size[order]
+    new = np.append(True, (t[1:] != t[:-1]).any(axis=1) | (n[1:] != n[:-1]))[: len(order)]
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    return rank, t[new], n[new]
+
+
+def parse_rows(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What follows each trigger, from begin on, as a row of its phrases' ranks (-1 after the last), and the dictionary."""
+    m, end = len(begin), begin + size
+    row = np.repeat(np.arange(m), size)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + begin[row]
+    h32, _ = _hashes(flat)
+    inside = (place > begin[row]) & (place + TRIGGER <= end[row])
+    starts = (place == begin[row]) | (inside & (_level(h32[np.minimum(place, len(h32) - 1)]) == 0))
+    row, start = row[starts], place[starts]
+    last = np.append(row[1:] != row[:-1], True)[: len(row)]
+    stop = np.where(last, end[row], np.append(start[1:], 0)[: len(row)] + TRIGGER)
+    rank, text, sizes = dictionary(flat, start, stop - start)
+    first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+    number = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))
+    rows = np.full((m, int(number.max(initial=0)) + 1), -1, np.int64)
+    rows[row, number] = rank
+    return rows, text, sizes
+
+
+def parse_order(key: np.ndarray, rows: np.ndarray, text: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix array of the parse by trigger, and each suffix's common prefix in bytes with the one before (-1: another trigger)."""
+    order = np.lexsort((*(rows[:, i] for i in range(rows.shape[1] - 1, -1, -1)), key))
+    r, k = rows[order], key[order]
+    a, b = r[:-1], r[1:]
+    differ = a != b
+    at = np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1] - 1)
+    each = np.where(b >= 0, sizes[np.maximum(b, 0)] - TRIGGER, 0)  # phrases overlap by a trigger
+    before = (np.cumsum(each, axis=1) - each)[np.arange(len(at)), at]
+    x, y = a[np.arange(len(at)), at], b[np.arange(len(at)), at]
+    both = np.where((x >= 0) & (y >= 0), np.minimum(np.minimum(sizes[np.maximum(x, 0)], sizes[np.maximum(y, 0)]), _common(text[np.maximum(x, 0)], text[np.maximum(y, 0)])), TRIGGER)
+    return order, np.append(-1, np.where(k[1:] == k[:-1], before + both, -1))
 
 
 def dictionary_repeats(a: np.ndarray, contents: list[bytes]) -> np.ndarray:
-    """Windows (doc, at) of the asked occurrences that an earlier one holds too.
+    """Windows (doc, at) of the asked occurrences that an earlier one holds too, as ranges.
 
     a: the occurrences, contents: their bytes. Rows for the same place count once.
     """
@@ -322,16 +391,12 @@ def dictionary_repeats(a: np.ndarray, contents: list[bytes]) -> np.ndarray:
     m = len(a)
     sizes = np.array([len(c) for c in contents], np.int64)
     flat = np.frombuffer(b"".join(contents), np.uint8)
-    begin = np.cumsum(sizes) - sizes
-    off = a["off"].astype(np.int64)
-    right_width, left_width = -(-LENGTH // 8) * 8, -(-SPAN // 8) * 8
-    i = np.arange(right_width)
-    right = np.where(off[:, None] + i < sizes[:, None], flat[np.minimum(begin[:, None] + off[:, None] + i, len(flat) - 1)], 0).astype(np.uint8)
-    i = np.arange(left_width)
-    left = np.where(i < off[:, None], flat[np.maximum(begin[:, None] + off[:, None] - 1 - i, 0)], 0).astype(np.uint8)
-    right_order, right_common = _right_classes(right, a["k"])
-    left_order, left_common = _right_classes(left, np.zeros(m, np.uint64))
-    del right, left
+    begin, off = np.cumsum(sizes) - sizes, a["off"].astype(np.int64)
+    right_order, right_common = parse_order(a["k"], *parse_rows(flat, begin + off, sizes - off))
+    ends = _cut_out(flat, begin + off, off, -(-SPAN // 8) * 8, -1)  # what stands before the trigger, read backwards
+    left_order = _sorted(ends)
+    left_common = np.append(-1, np.minimum(_common(ends[left_order[1:]], ends[left_order[:-1]]), SPAN))
+    del ends
     low = off - a["more"]
     classes = np.empty(m, np.int64)
     found = []

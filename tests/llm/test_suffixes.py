@@ -154,3 +154,54 @@ def test_any_column_names(spark):
     rows = {r.doc_id: list(r) for r in got.collect()}
     assert all(rows[i][2:] == [f"{n}{i}" for n in names] for i in range(4))
     assert len(rows[0][1]) > 200 and all(len(rows[i][1]) < 10 for i in (1, 2, 3))
+
+
+def test_triggers_cut_a_prefix_free_parse():
+    """Phrases overlap by their triggers, and none ends with the beginning of another but for these."""
+    data = np.frombuffer(prose(3, 4000).encode(), np.uint8)
+    h32, _ = suffixes._hashes(data)
+    cuts = np.flatnonzero(suffixes._level(h32) == 0)
+    assert len(data) / 60 < len(cuts) < len(data) / 15
+    phrases = {data[a : b + suffixes.TRIGGER].tobytes() for a, b in zip(cuts, cuts[1:])}
+    ends = sorted({p[i:] for p in phrases for i in range(len(p) - suffixes.TRIGGER)})
+    assert not any(b.startswith(a) for a, b in zip(ends, ends[1:]) if a != b)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_suffix_array_of_the_parse(seed):
+    """Order and common prefixes of ranked phrases are those of the bytes."""
+    r = random.Random(seed)
+    base = prose(seed, 400).encode()
+    rights = []
+    for _ in range(120):
+        at = r.randrange(0, 40) * 20
+        x = bytearray(base[at : at + r.randint(40, 100)])
+        if r.random() < 0.5:
+            x[r.randrange(32, len(x))] = 48
+        rights.append(bytes(x))
+    flat, sizes = np.frombuffer(b"".join(rights), np.uint8), np.array([len(x) for x in rights])
+    rows, text, n = suffixes.parse_rows(flat, np.cumsum(sizes) - sizes, sizes)
+    assert rows.shape[1] > 1
+    order, common = suffixes.parse_order(np.zeros(len(rights), np.uint64), rows, text, n)
+    got = [rights[i] for i in order]
+    assert got == sorted(rights)
+    for a, b, c in zip(got, got[1:], common[1:].tolist()):
+        want = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        assert c == want
+
+
+def test_text_beyond_eight_megabytes(spark):
+    rng = np.random.default_rng(1)
+    long = "".join(map(chr, rng.integers(97, 123, 9_000_000)))
+    passage = long[8_700_000:8_700_400]
+    df = spark.createDataFrame([(1, long + "-" + long[5:305]), (2, "=" + passage + "=")], "doc_id bigint, text string")
+    got = {r.doc_id: [(s.start, s.end) for s in r["__spans"]] for r in suffixes.remove_repeats(df).collect()}
+    assert got == {1: [(9_000_001, 9_000_301)], 2: [(1, 401)]}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_small_alphabets(spark, seed):
+    """Texts full of repeats of all lengths, with triggers dense and rare."""
+    r = random.Random(seed)
+    parts = ["".join(r.choice("ab") for _ in range(r.randint(1, 150))) for _ in range(12)] + ["c" * 70, "ab" * 40]
+    check(spark, ["".join(r.choice(parts) for _ in range(r.randint(1, 12))) for _ in range(60)])
