@@ -28,9 +28,32 @@ def numbered(df: DataFrame, order: str, tie: str, name: str) -> DataFrame:
     return rows.withColumn(name, (F.col("__start") + F.col("__rank") - 1).cast("bigint")).select(*df.columns, name)
 
 
+def running(df: DataFrame, order: str, value: str, name: str, descending: bool = False) -> DataFrame:
+    """df with the sum of `value` up to each row by the double `order`, and in `total` that of all rows, without a task that holds all.
+
+    As numbered: ranges by approximate quantiles, a table of one row a range for what lies before.
+    Rows of equal order fall into one range, so they are best grouped before.
+    """
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bounds = sorted(set(df.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10_000)).first()[0] or [])) if parts > 1 else []
+    cuts = F.from_json(F.lit(json.dumps(bounds)), "array<double>")
+    at = F.size(F.filter(cuts, lambda c: c < F.col(order)))
+    rows = df.withColumn("__range", -at if descending else at)
+    sums = rows.groupBy("__range").agg(F.sum(value).alias("__sum"))
+    upto = F.sum("__sum").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, 0))  # a row a range
+    starts = sums.select("__range", (upto - F.col("__sum")).alias("__start"), F.sum("__sum").over(Window.partitionBy()).alias("total"))
+    by = F.col(order).desc() if descending else F.col(order)
+    own = F.sum(value).over(Window.partitionBy("__range").orderBy(by).rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("__own", own).join(F.broadcast(starts), "__range")
+    return rows.select(*df.columns, (F.col("__start") + F.col("__own")).alias(name), "total")
+
+
 def flow_table(packets: DataFrame, config: SketchConfig = DEFAULT) -> DataFrame:
-    """flow_id, key, idx (array<int>), true_x: candidates of the recovery are exactly the distinct keys."""
-    keys = packets.groupBy("key").agg(F.min("seq").alias("first"), F.sum("weight").cast("double").alias("true_x"))
+    """flow_id, key, idx (array<int>), true_x: candidates of the recovery are exactly the distinct keys.
+
+    Packets with a null key make no flow, null weights count 0.
+    """
+    keys = packets.filter("key IS NOT NULL").groupBy("key").agg(F.min("seq").alias("first"), F.coalesce(F.sum("weight"), F.lit(0)).cast("double").alias("true_x"))
     rows = numbered(keys, "first", "key", "flow_id")
     return with_cms_columns(rows, config=config).select("flow_id", "key", "idx", "true_x")
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluice.operators.flows import running
+
 
 def recovery_error(estimates: DataFrame) -> DataFrame:
     """Of selected flows: abs_err (signed: estimate less truth) and rel_err (0 where the truth is 0)."""
@@ -20,10 +22,17 @@ def recovery_mse(estimates: DataFrame) -> DataFrame:
 
 
 def weight_stats(packets: DataFrame, weight: str = "weight") -> DataFrame:
-    """mean, min, max, population sd and median; zeros for no packets."""
+    """mean, min, max, population sd and median; zeros for no packets. Null weights are left out.
+
+    The median is exact: the least weights that a half of the packets, and one more, don't pass.
+    """
     w = F.col(weight).cast("double")
-    parts = {"mean": F.avg(w), "min": F.min(w), "max": F.max(w), "stddev": F.stddev_pop(w), "median": F.median(w)}
-    return packets.agg(*[F.coalesce(c, F.lit(0.0)).alias(n) for n, c in parts.items()])
+    parts = {"mean": F.avg(w), "min": F.min(w), "max": F.max(w), "stddev": F.stddev_pop(w)}
+    one = packets.agg(*[F.coalesce(c, F.lit(0.0)).alias(n) for n, c in parts.items()])
+    counts = packets.select(w.alias("w")).filter("w IS NOT NULL").groupBy("w").agg(F.count("*").alias("n"))
+    at = running(counts, "w", "n", "upto")
+    middle = [F.min(F.when(F.col("upto") >= F.floor((F.col("total") + i) / 2), F.col("w"))) for i in (1, 2)]
+    return one.join(at.agg(F.coalesce((middle[0] + middle[1]) / 2, F.lit(0.0)).alias("median")))  # a row each
 
 
 def weight_histogram(packets: DataFrame, bins: int = 50, weight: str = "weight") -> DataFrame:
@@ -38,22 +47,22 @@ def weight_histogram(packets: DataFrame, bins: int = 50, weight: str = "weight")
 def weight_cdf(packets: DataFrame, weight: str = "weight") -> DataFrame:
     """weight, share: the share of packets at or under each weight that occurs.
 
-    Counts a weight first, so that only distinct weights are put in order.
+    Counts a weight first, so that only distinct weights are put in order, in ranges.
     """
     counts = packets.groupBy(F.col(weight).alias("weight")).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.orderBy("weight").rowsBetween(Window.unboundedPreceding, 0))
-    return counts.select("weight", (upto / F.sum("n").over(Window.partitionBy())).alias("share"))
+    counts = counts.filter("weight IS NOT NULL").withColumn("w", F.col("weight").cast("double"))
+    return running(counts, "w", "n", "upto").select("weight", (F.col("upto") / F.col("total")).alias("share"))
 
 
 def traffic_concentration(flows: DataFrame, weight: str = "true_x", shares: tuple[int, ...] = (10, 5, 2)) -> DataFrame:
     """divisor, percent: the part of all weight in the heaviest n // divisor flows.
 
-    Flows of equal weight are counted together, so that only distinct weights are put in order.
+    Flows of equal weight are counted together, so that only distinct weights are put in order, in ranges.
     """
-    counts = flows.groupBy(F.col(weight).alias("w")).agg(F.count("*").alias("n"))
-    down = Window.orderBy(F.col("w").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy()
-    rows = counts.select("w", "n", (F.sum("n").over(down) - F.col("n")).alias("before"), F.sum("n").over(every).alias("flows"), F.sum(F.col("w") * F.col("n")).over(every).alias("total"))
+    counts = flows.groupBy(F.col(weight).cast("double").alias("w")).agg(F.count("*").alias("n"))
+    rows = running(counts, "w", "n", "upto", descending=True)
+    whole = counts.agg(F.sum(F.col("w") * F.col("n")).alias("weight"))
+    rows = rows.join(F.broadcast(whole)).select("w", "n", (F.col("upto") - F.col("n")).alias("before"), F.col("total").alias("flows"), F.col("weight").alias("total"))  # one row
     rows = rows.select("*", F.explode(F.array(*[F.lit(d) for d in shares])).alias("divisor"))
     take = F.greatest(F.lit(0), F.least("n", F.floor(F.col("flows") / F.col("divisor")) - F.col("before")))
     return rows.groupBy("divisor").agg((F.sum(F.col("w") * take) * 100 / F.max("total")).alias("percent"))

@@ -2,7 +2,9 @@
 
 Each step takes the flow that correlates best with the residual, solves least squares on all
 flows taken, and subtracts. The inverse of the support's Gram matrix grows by its Schur
-complement, which is the square of the pivot that a Cholesky factor would get: O(k^2) a step.
+complement, which is the square of the pivot that a Cholesky factor would get. Beyond DENSE flows
+no inverse is held: the same update comes from a sparse system that conjugate gradients solve
+in the support's own counters, so memory grows with the support and not with its square.
 Steps run in numpy: on the driver for one sketch of up to LOCAL_FLOWS flows, in one task a
 group for many sketches, and over partitioned flows, with only the pick and the residual
 travelling, for one sketch of more.
@@ -21,12 +23,16 @@ from pyspark.sql import functions as F
 
 from sluice.cluster import ship
 from sluice.config import DEFAULT, SketchConfig
-from sluice.operators.flows import flow_table, pattern
+from sluice.functions.hashing import with_cms_columns
+from sluice.operators.flows import flow_table, numbered
 from sluice.operators.sketch import build_sketch, flatten
 
 #: Flows that are brought to the driver at most (40 bytes each).
 LOCAL_FLOWS = 2_000_000
 
+#: Flows of a support up to which its inverse is held (128 MB), and the accuracy of a sparse solution beyond.
+DENSE, ACCURACY = 4096, 1e-13
+
 
 class Solver:
     """Least squares on a support that grows by one flow a time."""
@@ -36,9 +42,36 @@ class Solver:
         self.positions = np.empty((0, config.rows), np.int64)
         self.inverse, self.rhs, self.x = np.zeros((64, 64)), np.empty(0), np.empty(0)  # room is doubled when it is used up
 
+    def _times_gram(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.positions.ravel(), weights=np.repeat(w, self.config.rows), minlength=len(self.y))[self.positions].sum(axis=1)
+
+    def _sparse(self, v: np.ndarray) -> np.ndarray:
+        """The inverse Gram matrix times v, by conjugate gradients."""
+        w, r = np.zeros(len(v)), v.copy()
+        p, size = r.copy(), float(r @ r)
+        least = size * ACCURACY**2
+        for _ in range(10 * len(v)):
+            if size <= least:
+                break
+            q = self._times_gram(p)
+            a = size / float(p @ q)
+            w += a * p
+            r -= a * q
+            old, size = size, float(r @ r)
+            p = r + size / old * p
+        return w
+
     def add(self, positions: np.ndarray) -> bool:
         """Takes a flow in; False where it can't be told from those taken (it then weighs 0)."""
         k = len(self.x)
+        if k >= DENSE:
+            self.inverse = np.empty((0, 0))
+            v = (self.positions == positions).sum(axis=1).astype(float)
+            w = self._sparse(v) if v.any() else np.zeros(k)
+            pivot = float(len(positions)) - float(v @ w)
+            if pivot <= max(self.config.least_pivot, 1e-9):
+                return False
+            return self._take(positions, v, w, pivot)
         v = (self.positions == positions).sum(axis=1).astype(float)
         inverse = self.inverse[:k, :k]
         met = np.flatnonzero(v)  # few flows share counters, so nearly all of the update is zero
@@ -55,9 +88,12 @@ class Solver:
         inverse[np.ix_(near, near)] += np.outer(w[near], w[near] / pivot)
         self.inverse[k, :k] = self.inverse[:k, k] = -w / pivot
         self.inverse[k, k] = 1 / pivot
+        return self._take(positions, v, w, pivot)
+
+    def _take(self, positions: np.ndarray, v: np.ndarray, w: np.ndarray, pivot: float) -> bool:
         self.positions = np.vstack([self.positions, positions])
         self.rhs = np.append(self.rhs, self.y[positions].sum())
-        new = (self.rhs[k] - v[met] @ self.x[met]) / pivot
+        new = (self.rhs[-1] - v @ self.x) / pivot
         self.x = np.append(self.x - w * new, new)
         explained = np.bincount(self.positions.ravel(), weights=np.repeat(self.x, self.config.rows), minlength=len(self.y))
         self.r = self.y - explained
@@ -122,6 +158,13 @@ def _pick(corr: np.ndarray, free: np.ndarray, config: SketchConfig) -> int:
     return i if i >= 0 and a[i] > config.least_correlation else -1
 
 
+def heavy_positions(r: np.ndarray, config: SketchConfig = DEFAULT) -> np.ndarray:
+    """The heaviest counters of a residual, over a share of the largest."""
+    size = np.abs(r)
+    heavy = np.flatnonzero(size > config.heavy_share * size.max())
+    return heavy[np.lexsort((heavy, -size[heavy]))][: config.heavy_buckets]
+
+
 def omp(y: np.ndarray, positions: np.ndarray, most: int, config: SketchConfig = DEFAULT, restricted: bool = False) -> Recovered:
     """y: dense measurements; positions: flows x rows. restricted looks at flows of heavy counters
     only, and at all of them every full_scan_every steps or where those give none: faster with
@@ -133,9 +176,7 @@ def omp(y: np.ndarray, positions: np.ndarray, most: int, config: SketchConfig =
     for step in range(min(most, n)):
         best = -1
         if restricted and step % config.full_scan_every:
-            size = np.abs(solver.r)
-            heavy = np.flatnonzero(size > config.heavy_share * size.max())
-            heavy = heavy[np.lexsort((heavy, -size[heavy]))][: config.heavy_buckets]
+            heavy = heavy_positions(solver.r, config)
             low, high = np.searchsorted(sorted_positions, heavy, "left"), np.searchsorted(sorted_positions, heavy, "right")
             near = np.unique(np.concatenate([by_position[a:b] // config.rows for a, b in zip(low, high)] or [np.empty(0, np.int64)]))
             if len(near):
@@ -161,32 +202,56 @@ def _dense(y: pd.DataFrame, config: SketchConfig) -> np.ndarray:
     return out
 
 
-ESTIMATES = "flow_id bigint, key bigint, true_x double, x double, selected boolean"
+FOUND = "flow_id bigint, key bigint, x double, selected boolean"
+
+
+def flows_of_keys(keys: DataFrame, config: SketchConfig = DEFAULT) -> DataFrame:
+    """flow_id, key, idx of a list of keys: numbered by `seq` where there is such a column, else by key. Null keys are no flows."""
+    first = F.min("seq" if "seq" in keys.columns else "key").alias("first")
+    rows = numbered(keys.filter("key IS NOT NULL").groupBy("key").agg(first), "first", "key", "flow_id")
+    return with_cms_columns(rows, config=config).select("flow_id", "key", "idx")
+
+
+def recover_from_sketch(sketch: DataFrame, keys: DataFrame, most: int | None = None, config: SketchConfig = DEFAULT, restricted: bool = False) -> DataFrame:
+    """flow_id, key, x, selected: what counters (row, col, value) and the list of keys give back, without a packet.
+
+    keys: key, and seq for the order of the flows where it matters. most: steps at most (None: as
+    many as keys). Up to LOCAL_FLOWS keys the loop runs on the driver, beyond over partitions.
+    """
+    return _recover(flows_of_keys(keys, config), flatten(sketch, config), most, config, restricted)
+
+
+def _recover(flows: DataFrame, y: DataFrame, most: int | None, config: SketchConfig, restricted: bool) -> DataFrame:
+    """flow_id, key, x, selected; flows: flow_id, key, idx."""
+    spark = flows.sparkSession
+    flows = flows.select("flow_id", "key", "idx").cache()
+    try:
+        n = flows.count()
+        if n > LOCAL_FLOWS:
+            return _over_partitions(flows, y, n if most is None else most, config, restricted)
+        if not n:
+            return spark.createDataFrame([], FOUND)
+        got = flows.orderBy("flow_id").toArrow()
+    finally:
+        flows.unpersist()
+    idx = got.column("idx").combine_chunks().flatten().to_numpy().astype(np.int64).reshape(n, config.rows)
+    found = omp(_dense(y.toPandas(), config), idx + np.arange(config.rows) * config.columns, n if most is None else most, config, restricted)
+    out = pa.table({"flow_id": got.column("flow_id"), "key": got.column("key"), "x": pa.array(found.x), "selected": pa.array(found.selected)})
+    return spark.createDataFrame(out, FOUND)
 
 
 def recover(packets: DataFrame, most: int | None = None, config: SketchConfig = DEFAULT, restricted: bool = False) -> DataFrame:
     """flow_id, key, true_x, x, selected of each flow; most: steps at most (None: as many as flows).
 
-    One sketch: its measurements are of fixed size. Up to LOCAL_FLOWS flows the loop runs on the
-    driver; more are left where they are (see recover_distributed).
+    One sketch: its measurements are of fixed size. The true totals are for comparison and take
+    no part. Packets with a null key are left out, null weights count 0.
     """
-    spark = packets.sparkSession
-    flows = flow_table(packets, config).cache()
-    n = flows.count()
-    if n > LOCAL_FLOWS:
-        return recover_distributed(packets, most if most is not None else n, config)
-    y = _dense(flatten(build_sketch(packets, config), config).toPandas(), config)
-    got = flows.orderBy("flow_id").toArrow()
-    flows.unpersist()
-    if not n:
-        return spark.createDataFrame([], ESTIMATES)
-    idx = got.column("idx").combine_chunks().flatten().to_numpy().astype(np.int64).reshape(n, config.rows)
-    found = omp(y, idx + np.arange(config.rows) * config.columns, n if most is None else most, config, restricted)
-    out = pa.table({"flow_id": got.column("flow_id"), "key": got.column("key"), "true_x": got.column("true_x"), "x": pa.array(found.x), "selected": pa.array(found.selected)})
-    return spark.createDataFrame(out, ESTIMATES)
+    flows = flow_table(packets, config)
+    found = _recover(flows, flatten(build_sketch(packets, config), config), most, config, restricted)
+    return found.join(flows.select("key", "true_x"), "key").select("flow_id", "key", "true_x", "x", "selected")
 
 
-def recover_grouped(packets: DataFrame, by: str, most: int | None = None, config: SketchConfig = DEFAULT) -> DataFrame:
+def recover_grouped(packets: DataFrame, by: str, most: int | None = None, config: SketchConfig = DEFAULT, restricted: bool = False) -> DataFrame:
     """One recovery for each value of `by`, side by side: by, key, true_x, x, selected.
 
     Packets are summed by group and key, and by group and counter, before they are shuffled to
@@ -194,6 +259,7 @@ def recover_grouped(packets: DataFrame, by: str, most: int | None = None, config
     """
     ship(packets.sparkSession)
     kind = packets.schema[by].dataType.simpleString()
+    packets = packets.filter("key IS NOT NULL")
     totals = packets.groupBy(by, "key").agg(F.sum("weight").cast("double").alias("value"), F.min("seq").alias("seq"))
     flows = totals.select(by, "key", "seq", "value", F.lit(-1).alias("pos"))
     y = build_sketch(packets, config, (by,)).select(by, F.lit(0).cast("bigint").alias("key"), F.lit(0).cast("bigint").alias("seq"), F.col("value").cast("double").alias("value"), (F.col("row") * config.columns + F.col("col")).cast("int").alias("pos"))
@@ -201,7 +267,7 @@ def recover_grouped(packets: DataFrame, by: str, most: int | None = None, config
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         own = pdf[pdf["pos"] < 0].sort_values(["seq", "key"])
         keys = own["key"].to_numpy(np.int64)
-        found = omp(_dense(pdf[pdf["pos"] >= 0], config), positions_of(keys, config), len(keys) if most is None else most, config)
+        found = omp(_dense(pdf[pdf["pos"] >= 0], config), positions_of(keys, config), len(keys) if most is None else most, config, restricted)
         return pd.DataFrame({by: pdf[by].iloc[0], "key": keys, "true_x": own["value"].to_numpy(), "x": found.x, "selected": found.selected})
 
     return flows.unionByName(y).groupBy(by).applyInPandas(run, f"`{by}` {kind}, key bigint, true_x double, x double, selected boolean")
@@ -221,43 +287,62 @@ def positions_of(keys: np.ndarray, config: SketchConfig = DEFAULT) -> np.ndarray
     return np.stack(out, axis=1)
 
 
-def recover_distributed(packets: DataFrame, most: int | None = None, config: SketchConfig = DEFAULT) -> DataFrame:
-    """The same with flows left on the executors: a job a step finds each partition's best, and the driver the best of those.
+def recover_distributed(packets: DataFrame, most: int | None = None, config: SketchConfig = DEFAULT, restricted: bool = False) -> DataFrame:
+    """As recover, with flows left on the executors whatever their number (None: a step for each flow)."""
+    flows = flow_table(packets, config)
+    found = _over_partitions(flows, flatten(build_sketch(packets, config), config), most, config, restricted)
+    return found.join(flows.select("key", "true_x"), "key").select("flow_id", "key", "true_x", "x", "selected")
+
+
+def _over_partitions(flows: DataFrame, y: DataFrame, most: int | None, config: SketchConfig, restricted: bool) -> DataFrame:
+    """A job a step finds each partition's best flow, and the driver the best of those.
 
-    most: steps at most (None: as many as flows). What travels is a residual of fixed size to the tasks and a row a partition back. For flows
-    beyond LOCAL_FLOWS; a job's start costs more than the driver's whole loop for fewer.
+    What travels is a residual of fixed size to the tasks and a row a partition back; a job's
+    start costs more than the driver's whole loop for few flows. restricted as for omp.
     """
     from pyspark import StorageLevel
 
-    spark = packets.sparkSession
+    spark = flows.sparkSession
     ship(spark)
-    flows = flow_table(packets, config).persist(StorageLevel.MEMORY_AND_DISK_2)
-    y = _dense(flatten(build_sketch(packets, config), config).toPandas(), config)
-    solver, support = Solver(y, config), []
-    for _ in range(flows.count() if most is None else most):
-        sent = spark.sparkContext.broadcast((solver.r, np.array(sorted(support), np.int64)))
-
-        def best(batches: Iterator[pa.RecordBatch]):
-            r, taken = sent.value
+    flows = flows.select("flow_id", "key", "idx").persist(StorageLevel.MEMORY_AND_DISK_2)
+    solver, support = Solver(_dense(y.toPandas(), config), config), []
+
+    def best(near: np.ndarray | None):
+        """The best flow, of those at the counters `near` where it is given."""
+        sent = spark.sparkContext.broadcast((solver.r, np.array(sorted(support), np.int64), near))
+
+        def of_part(batches: Iterator[pa.RecordBatch]):
+            r, taken, heavy = sent.value
             top = None
             for b in batches:
                 ids = b.column(0).to_numpy()
                 idx = b.column(1).flatten().to_numpy().astype(np.int64).reshape(len(ids), config.rows) + np.arange(config.rows) * config.columns
-                corr = r[idx].sum(axis=1)
-                i = _pick(corr, ~np.isin(ids, taken), config)
+                corr, free = r[idx].sum(axis=1), ~np.isin(ids, taken)
+                if heavy is not None:
+                    free &= np.isin(idx, heavy).any(axis=1)
+                i = _pick(corr, free, config)
                 if i >= 0 and (top is None or (abs(corr[i]), -ids[i]) > (abs(top[1]), -top[0])):
                     top = (int(ids[i]), float(corr[i]), idx[i].tolist())
             rows = [top] if top else []
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.float64()), pa.array([x[2] for x in rows], pa.list_(pa.int64()))], names=["flow_id", "corr", "pos"])
 
-        found = flows.select("flow_id", "idx").mapInArrow(best, "flow_id bigint, corr double, pos array<bigint>").agg(F.max(F.struct(F.abs("corr").alias("a"), (-F.col("flow_id")).alias("f"), "pos")).alias("top")).first()["top"]
+        parts = flows.select("flow_id", "idx").mapInArrow(of_part, "flow_id bigint, corr double, pos array<bigint>")
+        found = parts.agg(F.max(F.struct(F.abs("corr").alias("a"), (-F.col("flow_id")).alias("f"), "pos")).alias("top")).first()["top"]
         sent.unpersist()
-        if found is None:
-            break
-        support.append(-found["f"])
-        if not solver.add(np.array(found["pos"], np.int64)) or solver.norm() < config.least_residual:
-            break
+        return found
+
+    try:
+        for step in range(flows.count() if most is None else most):
+            found = best(heavy_positions(solver.r, config)) if restricted and step % config.full_scan_every else None
+            found = found or best(None)
+            if found is None:
+                break
+            support.append(-found["f"])
+            if not solver.add(np.array(found["pos"], np.int64)) or solver.norm() < config.least_residual:
+                break
+    finally:
+        flows.unpersist()
     x = np.zeros(len(support))
     x[: len(solver.x)] = solver.x
-    known = spark.createDataFrame([(int(f), float(v)) for f, v in zip(support, x)], "flow_id bigint, sx double")
-    return flows.join(F.broadcast(known), "flow_id", "left").select("flow_id", "key", "true_x", F.coalesce("sx", F.lit(0.0)).alias("x"), F.col("sx").isNotNull().alias("selected"))
+    known = spark.createDataFrame([(int(f), float(v)) for f, v in zip(support, x)], "flow_id bigint, sx double")  # a row a step
+    return flows.join(known, "flow_id", "left").select("flow_id", "key", F.coalesce("sx", F.lit(0.0)).alias("x"), F.col("sx").isNotNull().alias("selected"))

@@ -26,9 +26,9 @@ def bloom_cells(df: DataFrame, config: SketchConfig = DEFAULT) -> DataFrame:
 
 
 def build_sketch(packets: DataFrame, config: SketchConfig = DEFAULT, by: tuple[str, ...] = ()) -> DataFrame:
-    """row, col, value (and the columns of `by`): counters that wrap at the modulus. Cells without packets have no row."""
-    cells = cms_cells(packets.select(*by, "key", "weight"), config)
-    return cells.groupBy(*by, "row", "col").agg((F.sum("weight") % config.counter_modulus).alias("value"))
+    """row, col, value (and the columns of `by`): counters that wrap at the modulus. Cells without packets have no row; a null key counts nowhere, a null weight as 0."""
+    cells = cms_cells(packets.select(*by, "key", "weight").filter("key IS NOT NULL"), config)
+    return cells.groupBy(*by, "row", "col").agg((F.coalesce(F.sum("weight"), F.lit(0)) % config.counter_modulus).alias("value"))
 
 
 def merge_sketches(sketches: DataFrame, config: SketchConfig = DEFAULT, by: tuple[str, ...] = ()) -> DataFrame:
@@ -52,13 +52,13 @@ def flatten_dense(sketch: DataFrame, config: SketchConfig = DEFAULT) -> DataFram
 
 
 def bloom_bits(packets: DataFrame, config: SketchConfig = DEFAULT) -> DataFrame:
-    """i, col of each set bit."""
-    return bloom_cells(packets.select("key"), config).select("i", "col").distinct()
+    """i, col of each set bit; a null key sets none."""
+    return bloom_cells(packets.select("key").filter("key IS NOT NULL"), config).select("i", "col").distinct()
 
 
 def first_hits(packets: DataFrame, config: SketchConfig = DEFAULT) -> DataFrame:
-    """i, col, first: the earliest packet that sets each bit."""
-    return bloom_cells(packets.select("seq", "key"), config).groupBy("i", "col").agg(F.min("seq").alias("first"))
+    """i, col, first: the earliest packet that sets each bit; a null key sets none."""
+    return bloom_cells(packets.select("seq", "key").filter("key IS NOT NULL"), config).groupBy("i", "col").agg(F.min("seq").alias("first"))
 
 
 def new_flow_flags(packets: DataFrame, config: SketchConfig = DEFAULT) -> DataFrame:
@@ -66,7 +66,7 @@ def new_flow_flags(packets: DataFrame, config: SketchConfig = DEFAULT) -> DataFr
 
     A key that is found sets no bit, so the filter holds the bits of all earlier packets, and a
     packet is new if it is the first on one of its cells. There are as many cells as the filter
-    has bits at most, so the earliest packets are a table of fixed size; those that are new at
+    has bits at most (a packet with a null key is never new), so the earliest packets are a table of fixed size; those that are new at
     all are among them, and join the packets by seq.
     """
     new = first_hits(packets, config).select(F.col("first").alias("seq")).distinct().withColumn("is_new", F.lit(True))

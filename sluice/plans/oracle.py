@@ -45,3 +45,43 @@ FLOWS = f"""{cms(EVENTS)},
     cand AS (SELECT DISTINCT flow_id FROM pattern JOIN heavy USING (pos)),
     step1 AS (SELECT flow_id, corr / 4 AS x FROM best),
     r1 AS (SELECT y.pos, value - coalesce(x, 0) AS value FROM y LEFT JOIN (SELECT pos, x FROM pattern JOIN step1 USING (flow_id)) USING (pos))"""
+
+
+def solve(name: str, support: str, given: str, y: str = "y", rounds: int = 16) -> str:
+    """CTEs ending in <name>: flow_id, x, the least squares of y on the flows of `support`, from the start values `given` (flow_id, x).
+
+    Flows share few counters, so that adding a fourth of what is left at a flow's counters, again
+    and again, settles fast.
+    """
+    out, last = [f"{name}_0 AS MATERIALIZED (SELECT flow_id, coalesce(x, 0)::DOUBLE AS x FROM {support} LEFT JOIN {given} USING (flow_id))"], f"{name}_0"
+    out.append(f"{name}_a AS MATERIALIZED (SELECT flow_id, pos, value FROM pattern JOIN {support} USING (flow_id) JOIN {y} USING (pos))")
+    for i in range(1, rounds + 1):
+        left = f"SELECT pos, sum(x) AS sx FROM {name}_a JOIN {last} USING (flow_id) GROUP BY pos"
+        out.append(f"{name}_{i} AS MATERIALIZED (SELECT flow_id, max(x) + sum(value - sx) / 4 AS x FROM {name}_a JOIN ({left}) USING (pos) JOIN {last} USING (flow_id) GROUP BY flow_id)")
+        last = f"{name}_{i}"
+    return ", ".join([*out, f"{name} AS MATERIALIZED (SELECT flow_id, x FROM {last})"])
+
+
+def pursuit(steps: int) -> str:
+    """CTEs ending in found: flow_id, x of the flows that so many steps of the pursuit take."""
+    out = ["s0 AS MATERIALIZED (SELECT 0::BIGINT AS flow_id, 0::DOUBLE AS x WHERE false)", "r_0 AS MATERIALIZED (SELECT pos, value FROM y)"]
+    for i in range(1, steps + 1):
+        pick = f"SELECT flow_id FROM pattern JOIN r_{i - 1} USING (pos) WHERE flow_id NOT IN (SELECT flow_id FROM s{i - 1}) GROUP BY flow_id HAVING abs(sum(value)) > 1e-9 ORDER BY abs(sum(value)) DESC, flow_id LIMIT 1"
+        out.append(f"u{i} AS MATERIALIZED (SELECT flow_id FROM s{i - 1} UNION ALL (SELECT flow_id FROM ({pick})))")
+        out.append(solve(f"s{i}", f"u{i}", f"s{i - 1}", rounds=12))
+        out.append(f"r_{i} AS MATERIALIZED (SELECT y.pos, value - coalesce(sx, 0) AS value FROM y LEFT JOIN (SELECT pos, sum(x) AS sx FROM pattern JOIN s{i} USING (flow_id) GROUP BY pos) USING (pos))")
+    return ", ".join([*out, f"found AS (SELECT flow_id, x FROM s{steps})"])
+
+
+def generated(distribution: str, n: int, seed: int) -> str:
+    """SELECT of seq, key (as unsigned) and weight of generated packets."""
+    from sluice.sources import generators
+
+    a, b, c = generators.key_sql(seed)
+    key = f"xor(xor((({a}) & 65535)::UBIGINT << 48, ({b})::UBIGINT << 16), (({c}) & 65535)::UBIGINT)"
+    if distribution != "zipf":
+        return f"SELECT id AS seq, {key} AS key, ({generators.weight_sql(distribution, n, seed)})::BIGINT AS weight FROM range({n}) g(id)"
+    return f"""SELECT id AS seq, {key} AS key, floor(least(greatest(100000 / pow(rank::DOUBLE, 1.2), 1.0), 100000.0))::BIGINT AS weight
+    FROM (SELECT id, {generators.random_sql("id", seed, 6)} / {generators.PRIME}.0::DOUBLE AS u FROM range({n}) g(id))
+    JOIN (SELECT rank, high, coalesce(lag(high) OVER (ORDER BY rank), 0) AS low FROM (
+      SELECT n AS rank, CASE WHEN n = 10000 THEN 1.0 ELSE sum(pow(n::DOUBLE, -1.2)) OVER (ORDER BY n) / sum(pow(n::DOUBLE, -1.2)) OVER () END AS high FROM range(1, 10001) z(n))) ON u > low AND u <= high"""

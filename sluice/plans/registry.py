@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sluice.config import DEFAULT
 from sluice.functions.hashing import unsigned_text, with_mix64
 from sluice.operators import flows as fl
 from sluice.operators import metrics, recovery, sketch, steps
-from sluice.plans.oracle import EVENTS, FLOWS, LINEITEM, ORDERS, bloom, cms
+from sluice.plans.oracle import EVENTS, FLOWS, LINEITEM, ORDERS, bloom, cms, generated, pursuit, solve
 from sluice.sources import generators, packets, results
 from sluice.streaming import streams
 
@@ -233,19 +235,26 @@ def rhs_vector(spark, sf_dir):
     return steps.correlate(*_base(spark, sf_dir)).orderBy(F.abs("corr").desc(), "flow_id").limit(20).withColumnRenamed("corr", "b")
 
 
-@query()
-def support_solution(spark, sf_dir):
-    """Least squares on the 20 flows that correlate best."""
+_TOP20 = f"{FLOWS}, top AS (SELECT flow_id FROM corr ORDER BY abs(corr) DESC, flow_id LIMIT 20), none AS (SELECT flow_id, 0::DOUBLE AS x FROM top), {solve('best20', 'top', 'none')}"
+
+
+def _support_solution(spark, sf_dir):
     pattern, y = _base(spark, sf_dir)
     top = steps.correlate(pattern, y).orderBy(F.abs("corr").desc(), "flow_id").limit(20)
     return recovery.solve_support(steps.gram(pattern, top), top.withColumnRenamed("corr", "b"))
 
 
-@query()
+@query(f"WITH {_TOP20} SELECT flow_id, round(x, 3) + 0.0 AS x FROM best20")
+def support_solution(spark, sf_dir):
+    """Least squares on the 20 flows that correlate best."""
+    return _support_solution(spark, sf_dir).select("flow_id", (F.round("x", 3) + 0.0).alias("x"))
+
+
+@query(f"WITH {_TOP20} SELECT y.pos, round(value - coalesce(sx, 0), 2) + 0.0 AS value FROM y LEFT JOIN (SELECT pos, sum(x) AS sx FROM pattern JOIN best20 USING (flow_id) GROUP BY pos) USING (pos)")
 def support_residual(spark, sf_dir):
     """What those 20 flows leave of the measurements."""
     pattern, y = _base(spark, sf_dir)
-    return steps.residual(y, pattern, support_solution(spark, sf_dir))
+    return steps.residual(y, pattern, _support_solution(spark, sf_dir)).select("pos", (F.round("value", 2) + 0.0).alias("value"))
 
 
 @query(f"WITH {FLOWS} SELECT pos, value FROM heavy")
@@ -290,9 +299,44 @@ def omp_restricted_recovery(spark, sf_dir):
     return _rounded(recovery.recover(packets.events(spark, sf_dir), restricted=True))
 
 
-@query()
+#: Steps of a pursuit that leaves most flows alone, as far as SQL unrolls it.
+TOP = 10
+_FOUND = f"{FLOWS}, {pursuit(TOP)}, est AS (SELECT flow_id, key, true_x, coalesce(x, 0) AS x, x IS NOT NULL AS selected FROM flows LEFT JOIN found USING (flow_id))"
+
+
+def _to_cents(df):
+    return df.withColumn("x", F.round("x", 2) + 0.0)
+
+
+@query(f"WITH {_FOUND} SELECT flow_id, key, true_x, round(x, 2) + 0.0 AS x, selected FROM est")
 def omp_topk_recovery(spark, sf_dir):
-    return recovery.recover(packets.events(spark, sf_dir), 10)
+    """Fewer steps than flows: which are taken, in which order, and what they then weigh."""
+    return _to_cents(recovery.recover(packets.events(spark, sf_dir), TOP))
+
+
+@query(f"WITH {_FOUND} SELECT flow_id, key, true_x, round(x, 2) + 0.0 AS x, selected FROM est")
+def omp_distributed_topk(spark, sf_dir):
+    """The same over partitioned flows."""
+    return _to_cents(recovery.recover_distributed(packets.events(spark, sf_dir), TOP))
+
+
+@query(f"WITH {_FOUND} SELECT flow_id, key, round(x, 2) + 0.0 AS x, selected FROM est")
+def omp_from_sketch(spark, sf_dir):
+    """From the counters and a list of keys alone."""
+    p = packets.events(spark, sf_dir)
+    return _to_cents(recovery.recover_from_sketch(sketch.build_sketch(p), p.select("seq", "key"), TOP))
+
+
+@query(f"WITH {_FOUND} SELECT flow_id, key, round(x, 2) + 0.0 AS x, selected FROM est")
+def stream_recovery(spark, sf_dir):
+    """At the end of a stream's run, from the batches' counters and keys."""
+    return _to_cents(streams.stream_recovery(_event_packets(spark, sf_dir), TOP))
+
+
+@query()
+def omp_restricted_topk(spark, sf_dir):
+    """Fewer steps than flows, picked among the flows of heavy counters (tests hold it against brute force)."""
+    return _to_cents(recovery.recover(packets.events(spark, sf_dir), TOP, restricted=True))
 
 
 @query(f"WITH {FLOWS} SELECT flow_id, key, true_x, coalesce(x, 0) AS x, x IS NOT NULL AS selected FROM flows LEFT JOIN step1 USING (flow_id)")
@@ -313,20 +357,35 @@ def omp_grouped(spark, sf_dir):
     return recovery.recover_grouped(p, "event_type").select("event_type", "key", F.round("x").cast("bigint").alias("estimate"))
 
 
-@query(f"WITH {FLOWS} SELECT flow_id, key, true_x, 0.0::DOUBLE AS abs_err, 0.0::DOUBLE AS rel_err FROM flows WHERE true_x > 0")
+@query(f"WITH {_FOUND} SELECT flow_id, key, true_x, round(x - true_x, 2) + 0.0 AS abs_err, CASE WHEN true_x <> 0 THEN round(abs(x - true_x) / true_x, 6) ELSE 0.0 END AS rel_err FROM est WHERE selected")
 def recovery_error(spark, sf_dir):
-    found = metrics.recovery_error(recovery.recover(packets.events(spark, sf_dir)))
-    return found.filter("true_x > 0").select("flow_id", "key", "true_x", F.round(F.abs("abs_err"), 4).alias("abs_err"), F.round("rel_err", 6).alias("rel_err"))
+    """Of a recovery with fewer steps than flows: where counters are shared the errors aren't 0."""
+    found = metrics.recovery_error(recovery.recover(packets.events(spark, sf_dir), TOP))
+    return found.select("flow_id", "key", "true_x", (F.round("abs_err", 2) + 0.0).alias("abs_err"), F.round("rel_err", 6).alias("rel_err"))
+
+
+#: flow, key, truth, estimate, taken: estimates with errors of both signs.
+_GIVEN = [(0, 7, 100.0, 90.0, True), (1, 8, 50.0, 50.5, True), (2, 9, 0.0, 3.0, True), (3, 10, 20.0, 0.0, False)]
+_GIVEN_SQL = "est(flow_id, key, true_x, x, selected) AS (VALUES " + ", ".join(f"({f}::BIGINT, {k}::BIGINT, {t}::DOUBLE, {x}::DOUBLE, {s})" for f, k, t, x, s in _GIVEN) + ")"
+
+
+def _given(spark):
+    return spark.createDataFrame(_GIVEN, "flow_id bigint, key bigint, true_x double, x double, selected boolean")
 
 
-@query("SELECT 0.0::DOUBLE AS mse")
+@query(f"WITH {_GIVEN_SQL} SELECT sum((x - true_x) * (x - true_x)) FILTER (selected) / count(*) AS mse FROM est")
 def recovery_mse(spark, sf_dir):
-    return metrics.recovery_mse(recovery.recover(packets.events(spark, sf_dir))).select(F.round("mse", 6).alias("mse"))
+    return metrics.recovery_mse(_given(spark))
 
 
-@query()
-def recovery_error_topk(spark, sf_dir):
-    return metrics.recovery_error(recovery.recover(packets.events(spark, sf_dir), 10))
+@query(f"WITH {_GIVEN_SQL} SELECT flow_id, key, true_x, x, x - true_x AS abs_err, CASE WHEN true_x <> 0 THEN abs(x - true_x) / true_x ELSE 0 END AS rel_err FROM est WHERE selected")
+def recovery_error_given(spark, sf_dir):
+    return metrics.recovery_error(_given(spark))
+
+
+@query(f"WITH {_FOUND} SELECT round(sum((x - true_x) * (x - true_x)) FILTER (selected) / count(*), 1) + 0.0 AS mse FROM est")
+def recovery_mse_topk(spark, sf_dir):
+    return metrics.recovery_mse(recovery.recover(packets.events(spark, sf_dir), TOP)).select((F.round("mse", 1) + 0.0).alias("mse"))
 
 
 # --- weights
@@ -406,6 +465,47 @@ def gen_packets(spark, sf_dir):
     return rows.select("seq", unsigned_text(F.col("key")).alias("key"), "weight")
 
 
+def _generated_sketch(distribution: str) -> None:
+    def build(spark, sf_dir):
+        return sketch.build_sketch(generators.packets(spark, distribution, N, SEED))
+
+    build.__name__ = f"gen_sketch_{distribution}"
+    query(f"WITH {cms(generated(distribution, N, SEED))} {_SUM}")(build)
+
+    def truth(spark, sf_dir):
+        rows = fl.flow_table(generators.packets(spark, distribution, N, SEED))
+        return rows.select("flow_id", unsigned_text(F.col("key")).alias("key"), "true_x")
+
+    truth.__name__ = f"gen_flows_{distribution}"
+    query(f"WITH src AS ({generated(distribution, N, SEED)}), k AS (SELECT key, min(seq) AS first, sum(weight)::DOUBLE AS true_x FROM src GROUP BY key) SELECT row_number() OVER (ORDER BY first, key) - 1 AS flow_id, key::VARCHAR AS key, true_x FROM k")(truth)
+
+
+for _d in generators.DISTRIBUTIONS:
+    _generated_sketch(_d)
+
+
+@query(_key_oracle())
+def gen_cached(spark, sf_dir):
+    """Generated packets read from the cache that the first call has written."""
+    folder = f"{streams.shared_folder(spark)}/generated"
+    generators.cached(spark, folder, "uniform", N, SEED)
+    rows = generators.cached(spark, folder, "uniform", N, SEED)
+    return rows.select("seq", unsigned_text(F.col("key")).alias("key"), "weight")
+
+
+@query(
+    f"""WITH {cms(generated("zipf", N, SEED))}, c AS ({_SUM}) SELECT (SELECT count(*) FROM src) AS flows, (SELECT count(*) FROM c) AS cells, (SELECT sum(weight)::DOUBLE FROM src) AS truth,
+    (SELECT sum(weight)::DOUBLE FROM src) AS recovered"""
+)
+def gen_end_to_end(spark, sf_dir):
+    """Generated traffic, its sketch and flows, and the recovery of all of it."""
+    p = generators.packets(spark, "zipf", N, SEED)
+    cells = sketch.build_sketch(p)
+    found = recovery.recover_from_sketch(cells, p.select("seq", "key"))
+    one = found.agg(F.count("*").alias("flows"), (F.round(F.sum("x"), 3) + 0.0).alias("recovered"))
+    return one.join(cells.agg(F.count("*").alias("cells"))).join(p.agg(F.sum("weight").cast("double").alias("truth"))).select("flows", "cells", "truth", "recovered")
+
+
 # --- benchmark results
 
 RUNS = [
@@ -469,6 +569,32 @@ def result_lines(spark, sf_dir):
     return results.parse_lines(spark.createDataFrame([(x,) for x in _LINES], "value string"))
 
 
+@query(f"WITH {_RUNS}, {_SUMMARY} SELECT 'RESULT,' || distribution || ',' || n || ',' || k || ',' || impl || printf(',%.3f,%.3f,%.0f', time_ms, stddev_ms, throughput) AS line FROM summary")
+def result_texts(spark, sf_dir):
+    return _summary(spark).select(results.result_line().alias("line"))
+
+
+@query(f"WITH {_RUNS}, {_SUMMARY} SELECT distribution, n, k, impl, round(time_ms, 3) AS time_ms, round(stddev_ms, 3) AS stddev_ms, round(throughput) AS throughput FROM summary")
+def result_round_trip(spark, sf_dir):
+    """Results as lines in a text file, read back."""
+    path = f"{streams.shared_folder(spark)}/results-{uuid.uuid4().hex}"
+    _summary(spark).select(results.result_line().alias("value")).write.text(path)
+    return results.read_lines(spark, path)
+
+
+@query(f"WITH {_RUNS}, {_SUMMARY} SELECT distribution, n, k, impl, time_ms, stddev_ms, throughput FROM summary")
+def result_csv(spark, sf_dir):
+    path = f"{streams.shared_folder(spark)}/results-{uuid.uuid4().hex}"
+    results.save(_summary(spark), path)
+    return results.load(spark, path)
+
+
+@query(f"WITH {_RUNS}, {_SUMMARY} SELECT '| ' || distribution || ' | ' || n || ' | ' || k || ' | ' || impl || printf(' | %.3f | %.3f | %.0f |', time_ms, stddev_ms, throughput) AS line FROM summary")
+def report_table(spark, sf_dir):
+    """The rows of the Markdown report's table."""
+    return results.report_rows(_summary(spark)).select("line")
+
+
 # --- streams
 
 
@@ -496,6 +622,12 @@ def stream_flow_table(spark, sf_dir):
     return streams.stream_flow_table(_event_packets(spark, sf_dir))
 
 
+@query(_flags(EVENTS))
+def stream_new_flow_flags(spark, sf_dir):
+    """Each packet's flag as it arrives."""
+    return streams.stream_new_flow_flags(_event_packets(spark, sf_dir))
+
+
 @query(f"WITH {bloom(EVENTS)} SELECT DISTINCT min(seq) AS seq FROM p8 GROUP BY i, col")
 def stream_new_flows(spark, sf_dir):
     return streams.stream_new_flows(_event_packets(spark, sf_dir))

@@ -35,13 +35,22 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).option("header", True).csv(path)
 
 
-def report(results: DataFrame) -> str:
-    """A Markdown table of the results, and the speedups of the report's subset; benchmark results are few."""
+def report_rows(results: DataFrame) -> DataFrame:
+    """line: a row of the report's table for each result."""
+    cells = F.format_string("| %s | %d | %d | %s | %.3f | %.3f | %.0f |", *[F.col(n) for n in NAMES])
+    return results.select(*NAMES, cells.alias("line"))
+
+
+def report(results: DataFrame, configuration: dict[str, object] | None = None) -> str:
+    """Markdown: the configuration, a table of all results, and the speedups of the report's subset; benchmark results are few."""
     from sluice.operators.metrics import report_speedup
 
-    rows = results.orderBy("distribution", "n", "k", "impl").limit(10_000).collect()
-    lines = ["# Benchmark", "", "| distribution | n | k | impl | ms | sd | flows a second |", "| --- | --- | --- | --- | --- | --- | --- |"]
-    lines += [f"| {r.distribution} | {r.n} | {r.k} | {r.impl} | {r.time_ms:.3f} | {r.stddev_ms:.3f} | {r.throughput:.0f} |" for r in rows]
+    rows = report_rows(results).orderBy("distribution", "n", "k", "impl").collect()
+    lines = ["# Benchmark", ""]
+    if configuration:
+        lines += ["## Configuration", "", *(f"- {k}: {v}" for k, v in configuration.items()), "", "## Results", ""]
+    lines += ["| distribution | n | k | impl | ms | sd | flows a second |", "| --- | --- | --- | --- | --- | --- | --- |"]
+    lines += [r.line for r in rows]
     lines += ["", "## Speedup", "", "| n | speedup |", "| --- | --- |"]
     lines += [f"| {r.n} | {r.speedup:.2f} |" for r in report_speedup(results).orderBy("n").collect()]
     return "\n".join(lines) + "\n"

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sluice.config import SketchConfig
+from sluice.config import DEFAULT, SketchConfig
 from sluice.operators import flows, metrics, recovery, sketch, steps
 
 PACKETS = "seq bigint, key bigint, weight bigint"
@@ -189,3 +189,96 @@ def test_support_solution(spark):
 def test_config():
     with pytest.raises(ValueError):
         SketchConfig(columns=1000)
+
+
+def _brute_pursuit(y, positions, most, restricted=False, config=None):
+    """Picks and coefficients by a plain least squares at each step."""
+    from sluice.config import DEFAULT
+
+    config = config or DEFAULT
+    a = np.zeros((len(y), len(positions)))
+    for f, p in enumerate(positions):
+        a[p, f] = 1
+    support, r, x = [], y.copy(), np.empty(0)
+    for step in range(most):
+        free = [f for f in range(len(positions)) if f not in support]
+        some = free
+        if restricted and step % config.full_scan_every:
+            heavy = sorted((p for p in range(len(y)) if abs(r[p]) > config.heavy_share * abs(r).max()), key=lambda p: (-abs(r[p]), p))[: config.heavy_buckets]
+            some = [f for f in free if set(positions[f].tolist()) & set(heavy)] or free
+        best = max(some, key=lambda f: (abs(a[:, f] @ r), -f))
+        if abs(a[:, best] @ r) <= config.least_correlation:
+            break
+        support.append(best)
+        x = np.linalg.lstsq(a[:, support], y, rcond=None)[0]
+        r = y - a[:, support] @ x
+    return support, x
+
+
+@pytest.mark.parametrize("restricted", [False, True])
+@pytest.mark.parametrize("dense", [recovery.DENSE, 3])
+def test_pursuit_against_plain_least_squares(restricted, dense, monkeypatch):
+    """Fewer steps than flows, many shared counters, with the inverse and without it."""
+    monkeypatch.setattr(recovery, "DENSE", dense)
+    config = SketchConfig(columns=64, heavy_buckets=6)
+    rng = np.random.default_rng(11)
+    positions = recovery.positions_of(np.arange(1, 61, dtype=np.int64), config)
+    y = np.bincount(positions.ravel(), weights=np.repeat(rng.integers(1, 10_000, 60).astype(float), 4), minlength=config.counters)
+    found = recovery.omp(y, positions, 25, config, restricted)
+    support, x = _brute_pursuit(y, positions, 25, restricted, config)
+    assert found.support == support
+    assert np.allclose(found.x[support], x, rtol=1e-7, atol=1e-5)
+
+
+def test_restricted_is_kept_over_partitions(spark, monkeypatch):
+    """Beyond what the driver takes the same flows are picked in the same way."""
+    rng = np.random.default_rng(2)
+    p = spark.createDataFrame([(i, int(k), int(w)) for i, (k, w) in enumerate(zip(rng.integers(1, 120, 300), rng.integers(1, 9_000, 300)))], "seq long, key long, weight long")
+    config = SketchConfig(columns=64, heavy_buckets=6)
+    for restricted in (False, True):
+        near = {r.key: (round(r.x, 4), r.selected) for r in recovery.recover(p, 15, config, restricted).collect()}
+        monkeypatch.setattr(recovery, "LOCAL_FLOWS", 0)
+        far = {r.key: (round(r.x, 4), r.selected) for r in recovery.recover(p, 15, config, restricted).collect()}
+        monkeypatch.undo()
+        assert near == far
+
+
+def test_recovery_from_counters_and_keys(spark):
+    p = spark.createDataFrame([(1, 5, 10), (2, 6, 20), (3, 5, 5), (4, None, 7), (5, 8, None)], "seq long, key long, weight long")
+    cells = sketch.build_sketch(p)
+    got = {(r.key, round(r.x, 6), r.selected) for r in recovery.recover_from_sketch(cells, p.select("key")).collect()}
+    assert got == {(5, 15.0, True), (6, 20.0, True), (8, 0.0, False)}
+    assert {(r.key, r.true_x, round(r.x, 6)) for r in recovery.recover(p).collect()} == {(5, 15.0, 15.0), (6, 20.0, 20.0), (8, 0.0, 0.0)}
+    assert recovery.recover_from_sketch(cells, p.select("key").filter("false")).count() == 0
+    assert {r.seq for r in sketch.new_flow_flags(p).filter("is_new").collect()} == {1, 2, 5}
+    assert cells.filter("col IS NULL").count() == 0 and cells.agg({"value": "sum"}).first()[0] == 4 * 35
+
+
+def test_many_steps_over_many_flows():
+    """A thousand steps over 150,000 flows: heavy flows stand out and come back."""
+    keys = np.arange(150_000, dtype=np.int64)
+    positions = recovery.positions_of(keys)
+    rng = np.random.default_rng(1)
+    truth = rng.integers(1, 5, len(keys)).astype(float)
+    heavy = rng.choice(len(keys), 1000, replace=False)
+    truth[heavy] += rng.integers(1_000_000, 9_000_000, 1000)
+    y = np.bincount(positions.ravel(), weights=np.repeat(truth, 4), minlength=DEFAULT.counters)
+    found = recovery.omp(y, positions, 1000, restricted=True)
+    assert len(set(found.support) & set(heavy.tolist())) >= 990
+
+
+def test_running_sums(spark):
+    rng = np.random.default_rng(4)
+    rows = [(float(w), int(n)) for w, n in zip(rng.permutation(500), rng.integers(1, 9, 500))]
+    df = spark.createDataFrame(rows, "w double, n long")
+    for down in (False, True):
+        got = {r.w: (r.s, r.total) for r in flows.running(df, "w", "n", "s", down).collect()}
+        at, want = 0, {}
+        for w, n in sorted(rows, reverse=down):
+            at += n
+            want[w] = (at, sum(n for _, n in rows))
+        assert got == want
+    for weights in ([], [3], [1, 2], [1, 1, 5, 9], [7, 7, 7], [None, 4]):
+        p = spark.createDataFrame([(w,) for w in weights], "weight long")
+        known = [w for w in weights if w is not None]
+        assert metrics.weight_stats(p).first()["median"] == (float(np.median(known)) if known else 0.0)

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from sluice.operators.flows import flow_table
 from sluice.operators.sketch import build_sketch, new_flow_flags
 from sluice.streaming import streams
@@ -25,6 +27,30 @@ def test_stream_equals_batch(spark, tmp_path):
     assert same(streams.stream_new_flows(stream, folder=str(tmp_path / "c")), new_flow_flags(batch).filter("is_new").select("seq"))
 
 
+def test_flags_as_packets_arrive(spark, tmp_path):
+    """Batch after batch against a filter that is asked and filled packet by packet."""
+    from sluice.operators.sketch import bloom_cells
+
+    stream, batch = source(spark, tmp_path)
+    got = {r.seq: r.is_new for r in streams.stream_new_flow_flags(stream, folder=str(tmp_path / "a")).collect()}
+    cells = {}
+    for r in bloom_cells(batch.select("key").distinct()).collect():
+        cells.setdefault(r.key, set()).add((r.i, r.col))
+    key = {r.seq: r.key for r in batch.collect()}
+    order = [r.seq for r in spark.read.parquet(str(tmp_path / "a" / "flags")).orderBy("batch", "seq").collect()]
+    seen, want = set(), {}
+    for seq in order:
+        want[seq] = not cells[key[seq]] <= seen
+        seen |= cells[key[seq]]
+    assert got == want and len(got) == 400
+
+
+def test_recovery_at_the_end(spark, tmp_path):
+    stream, batch = source(spark, tmp_path)
+    got = {r.key: round(r.x, 6) for r in streams.stream_recovery(stream, folder=str(tmp_path / "a")).collect()}
+    assert got == {r.key: float(r.w or 0) for r in batch.groupBy("key").agg(F.sum("weight").alias("w")).collect()}
+
+
 def test_live_sketch(spark, tmp_path):
     stream, batch = source(spark, tmp_path)
     q = streams.live_sketch(stream).writeStream.format("memory").queryName("live").outputMode("complete").start()
