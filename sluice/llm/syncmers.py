@@ -1,11 +1,13 @@
 """Document fingerprints by closed syncmers.
 
-A text's tokens are its words, words of over TOKEN_CHARS code points cut into tokens of that
-many. A k-mer is K tokens in a row; of its substrings of S tokens, each hashed, the least must
-lie at one of the k-mer's two edges for the k-mer to be chosen. Whether it is chosen depends
-on the k-mer alone, so equal passages choose the same anchors wherever they stand, and two
-texts can be lined up by the anchors they share. The fingerprint is the SKETCH least anchor
-hashes; the likeness of two is their estimate of the anchor sets' Jaccard index.
+A text's tokens are its words; of a word of over TOKEN_CHARS code points (as in scripts without
+spaces) each code point is one. A k-mer is K tokens in a row; of its substrings of S tokens,
+each hashed, the least must lie at one of the k-mer's two edges for the k-mer to be chosen.
+Whether it is chosen depends on the k-mer alone, so equal passages choose the same anchors
+wherever they stand, and two texts can be lined up by the anchors they share. The fingerprint
+is the SKETCH anchors of least hash, with their places. The likeness of two estimates the
+Jaccard index of the anchors, where a shared one counts if it is lined up: if its place moves
+from the one text to the other as far as that of a shared anchor beside it.
 
 Only DataFrame operations run here.
 """
@@ -31,7 +33,8 @@ def _bound(value: Column, body) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]{1,%d}" % TOKEN_CHARS), F.lit(0))
+    in_word = r"[^\x20\x09-\x0D]"
+    return F.regexp_extract_all(text, F.lit(f"(?<!{in_word}){in_word}{{1,{TOKEN_CHARS}}}(?!{in_word})|{in_word}"), F.lit(0))
 
 
 def _smers(words: Column) -> Column:
@@ -51,41 +54,67 @@ def _chosen(smers: Column, choose) -> Column:
 
 
 def anchors(text: Column) -> Column:
-    """array<struct<hash bigint, place int>>: the anchors of a text with the number of their first token."""
-    return _chosen(_smers(tokens(text)), lambda a, c, i: F.struct(F.xxhash64(a, c).alias("hash"), i.alias("place")))
+    """array<bigint>: a text's anchors in order, the hash (31 bits) above the number of its first token."""
+    return _chosen(_smers(tokens(text)), lambda a, c, i: _anchor(F.xxhash64(a, c), i))
+
+
+def _anchor(h: Column, place: Column) -> Column:
+    return F.shiftleft(h.bitwiseAND(F.lit(0x7FFFFFFF).cast("long")), 32).bitwiseOR(place.cast("long"))
+
+
+def hash_of(anchor: Column) -> Column:
+    return F.shiftright(anchor, 32)
+
+
+def place_of(anchor: Column) -> Column:
+    return anchor.bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
 
 
 def sketch(text: Column) -> Column:
-    """array<int>: the least hashes (31 bits) of the text's anchors.
+    """array<bigint>: the SKETCH anchors of least hash, each with its first place.
 
     A text of fewer than K tokens has one anchor, all its tokens; one without tokens, or a null
     one, has none.
     """
-    low = F.lit(0x7FFFFFFF).cast("long")
+    none = F.array().cast("array<bigint>")
 
     def of(words):
-        short = F.when(F.size(words) == 0, F.array().cast("array<int>")).otherwise(F.array(F.xxhash64(F.array_join(words, " ")).bitwiseAND(low).cast("int")))
-        many = _chosen(_smers(words), lambda a, c, _: F.xxhash64(a, c).bitwiseAND(low).cast("int"))
-        return F.when(F.size(words) < K, short).otherwise(F.slice(F.sort_array(F.array_distinct(many)), 1, SKETCH))
+        short = F.when(F.size(words) == 0, none).otherwise(F.array(_anchor(F.xxhash64(F.array_join(words, " ")), F.lit(0))))
+        many = _chosen(_smers(words), lambda a, c, i: _anchor(F.xxhash64(a, c), i))
+        firsts = _bound(F.sort_array(many), lambda x: F.filter(x, lambda a, i: (i == 0) | (hash_of(a) != hash_of(F.get(x, i - 1)))))
+        return F.when(F.size(words) < K, short).otherwise(F.slice(firsts, 1, SKETCH))
 
     return _bound(tokens(F.coalesce(text, F.lit(""))), of)
 
 
 def written(fingerprint: Column) -> Column:
-    """A sketch as text, eight hex digits a hash."""
-    return F.array_join(F.transform(fingerprint, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
+    """A sketch as text, sixteen hex digits an anchor: eight of hash, eight of place."""
+    return F.array_join(F.transform(fingerprint, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
+
+
+def matches(a: Column, b: Column) -> Column:
+    """array<struct<place, move>> by place: the anchors that two sketches share, and how far each moves from a to b."""
+    theirs, ours = (F.transform(x, hash_of) for x in (b, a))
+    # both are in the order of their hashes, which are distinct, so what is shared stands in one order
+    mine = F.filter(a, lambda x: F.array_contains(theirs, hash_of(x)))
+    other = F.filter(b, lambda x: F.array_contains(ours, hash_of(x)))
+    return F.sort_array(F.zip_with(mine, other, lambda x, y: F.struct(place_of(x).alias("place"), (place_of(y) - place_of(x)).alias("move"))))
+
+
+def lined_up(pairs: Column) -> Column:
+    """How many shared anchors move as far as the one before or after them; a single one does."""
+    return _bound(pairs, lambda m: F.when(F.size(m) < 2, F.size(m)).otherwise(F.size(F.filter(m, lambda x, i: (x["move"] == F.get(m, i + 1)["move"]) | ((i > 0) & (x["move"] == F.get(m, F.greatest(i - 1, F.lit(0)))["move"]))))))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """0 to 1; of two empty fingerprints 1."""
-    least = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
-    return _bound(least, lambda u: F.when(F.size(u) == 0, 1.0).otherwise(F.size(F.array_intersect(F.array_intersect(a, b), u)) / F.size(u))).cast("double")
+    """0 to 1: of the SKETCH least hashes of both texts the share that both have, lined up; of two empty fingerprints 1."""
+    least = F.slice(F.sort_array(F.array_union(F.transform(a, hash_of), F.transform(b, hash_of))), 1, SKETCH)
 
+    def of(u):
+        within = lambda x: F.filter(x, lambda y: hash_of(y) <= F.element_at(u, -1))
+        return F.when(F.size(u) == 0, 1.0).otherwise(lined_up(matches(within(a), within(b))) / F.size(u))
 
-def matches(a: Column, b: Column) -> Column:
-    """array<struct<hash, place, other>>: anchors of a that b has too, with b's first place of each."""
-    there = F.map_from_entries(F.array_distinct(F.transform(b, lambda x: F.struct(x["hash"], F.array_min(F.transform(F.filter(b, lambda y: y["hash"] == x["hash"]), lambda y: y["place"]))))))
-    return _bound(there, lambda m: F.filter(F.transform(a, lambda x: F.struct(x["hash"].alias("hash"), x["place"].alias("place"), F.try_element_at(m, x["hash"]).alias("other"))), lambda x: x["other"].isNotNull()))
+    return _bound(least, of).cast("double")
 
 
 def ranges(df: DataFrame, key: str, rows: int = RANGE_ROWS) -> list[int]:
@@ -135,7 +164,8 @@ def compare_edited(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """Key, n_chars, the text edited at its end with the next row's beginning, both fingerprints and the next row's.
 
     Columns: key, n_chars, edited (text), fingerprint, edited_fingerprint, next_fingerprint
-    (sketches). A null text is empty; repeated rows give a row each.
+    (sketches). A null text is empty; repeated rows give a row each; texts of any length are read
+    whole; an empty table gives no rows; other columns are not carried.
     """
     rows = df.select(F.col(key).alias("k"), text_or_empty(text).alias("t"))
     rows = with_next(rows.withColumn("f", sketch(F.col("t"))), "k", ["t", "f"])

@@ -1,11 +1,15 @@
 import hashlib
+import os
+import random
 import re
 import struct
 
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from sluice.llm import syncmers
+from sluice.llm import queries, syncmers
+from tests_llm_helpers import prose
 
 
 def signed(x):
@@ -22,23 +26,28 @@ def hash_two(a, b):
 
 
 def brute(text):
-    w = re.findall(r"[^\x20\x09-\x0D]{1,12}", text)
+    w = [x for word in re.findall(r"[^\x20\x09-\x0D]+", text) for x in ([word] if len(word) <= 12 else word)]
     if not w:
         return []
     if len(w) < 4:
-        return [hash_text(" ".join(w)) & 0x7FFFFFFF]
+        return [(hash_text(" ".join(w)) & 0x7FFFFFFF) << 32]
     h = [hash_text(x) for x in w]
     s = [hash_two(a, b) for a, b in zip(h, h[1:])]
-    chosen = set()
+    chosen = {}
     for i in range(len(w) - 3):
         if min(s[i : i + 3]) in (s[i], s[i + 2]):
-            chosen.add(hash_two(s[i], s[i + 2]) & 0x7FFFFFFF)
-    return sorted(chosen)[:64]
+            chosen.setdefault(hash_two(s[i], s[i + 2]) & 0x7FFFFFFF, i)
+    return [h << 32 | i for h, i in sorted(chosen.items())[:64]]
 
 
 def alike(a, b):
+    a, b = ({x >> 32: x & 0xFFFFFFFF for x in y} for y in (a, b))
     u = sorted({*a, *b})[:64]
-    return len({*a} & {*b} & {*u}) / len(u) if u else 1.0
+    if not u:
+        return 1.0
+    moves = [m for _, m in sorted((a[h], b[h] - a[h]) for h in u if h in a and h in b)]
+    lined = [len(moves) == 1 or m in (moves[i - 1] if i else None, moves[i + 1] if i + 1 < len(moves) else None) for i, m in enumerate(moves)]
+    return sum(lined) / len(u)
 
 
 def check(df):
@@ -65,10 +74,6 @@ def test_against_brute_force(unique, spark):
 
 def test_ranges(spark, monkeypatch):
     monkeypatch.setattr(syncmers, "RANGE_ROWS", 7)
-    import random
-
-    from tests_llm_helpers import prose
-
     keys = random.Random(4).sample(range(-(10**12), 10**12), 120)
     df = spark.createDataFrame([(k, prose(k, 20)) for k in keys], "doc_id bigint, text string")
     tops = syncmers.ranges(df, "doc_id", 7)
@@ -89,12 +94,50 @@ def test_edges(docs, none):
 
 
 def test_anchors_line_texts_up(spark):
-    from tests_llm_helpers import prose
-
     base = prose(8, 60)
     df = spark.createDataFrame([(base, prose(9, 10) + " " + base)], "a string, b string")
-    got = df.select(syncmers.anchors(F.col("a")).alias("a"), syncmers.anchors(F.col("b")).alias("b")).select(syncmers.matches(F.col("a"), F.col("b")).alias("m"), F.size("a").alias("n")).first()
-    shifts = [x.other - x.place for x in got.m]
-    assert len(shifts) == got.n > 20 and len(set(shifts)) == 1
-    text = spark.createDataFrame([([1, 255],)], "f array<int>").select(syncmers.written(F.col("f"))).first()[0]
-    assert text == "00000001000000ff"
+    got = df.select(syncmers.sketch(F.col("a")).alias("a"), syncmers.sketch(F.col("b")).alias("b")).select(syncmers.matches(F.col("a"), F.col("b")).alias("m"), F.size("a").alias("n")).first()
+    assert len(got.m) == got.n > 20 and {x.move for x in got.m} == {10}
+    assert [x.place for x in got.m] == sorted(x.place for x in got.m)
+    text = spark.createDataFrame([([1, 255],)], "f array<bigint>").select(syncmers.written(F.col("f"))).first()[0]
+    assert text == "000000000000000100000000000000ff"
+
+
+def test_shared_words_out_of_line_do_not_count(spark):
+    """The same sentences in another order share anchors, which do not line up across their borders."""
+    parts = [prose(i, 6) for i in range(20)]
+    same, other = " ".join(parts), " ".join(parts[::-1])
+    df = spark.createDataFrame([(same, same, other)], "a string, b string, c string")
+    near = lambda x, y: syncmers.likeness(syncmers.sketch(F.col(x)), syncmers.sketch(F.col(y)))
+    got = df.select(near("a", "b").alias("b"), near("a", "c").alias("c"), F.size(syncmers.matches(syncmers.sketch(F.col("a")), syncmers.sketch(F.col("c")))).alias("n")).first()
+    assert got.b == 1.0 and got.c < got.n / 64
+
+
+def test_scripts_without_spaces(spark):
+    """One code point before a passage moves its anchors by one place and changes none of the rest."""
+    passage = "".join(chr(0x4E00 + i * 37 % 3000) for i in range(300))
+    df = spark.createDataFrame([(passage, "\u4e8c" + passage)], "a string, b string")
+    got = df.select(syncmers.likeness(syncmers.sketch(F.col("a")), syncmers.sketch(F.col("b"))).alias("x")).first()
+    assert got.x > 0.9
+
+
+def test_long_text_and_other_columns(spark):
+    long = prose(5, 40_000)
+    df = spark.createDataFrame([(1, long, "x"), (2, long + " end", "y")], "doc_id long, text string, t string")
+    got = {r.doc_id: r for r in syncmers.compare_edited(df).collect()}
+    assert got[1].n_chars == len(long) and list(got[1].fingerprint) == brute(long)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_query(spark):
+    """The registered columns against brute force."""
+    sf = "/root/testdata/sf0.001"
+    rows = sorted(((r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()), reverse=True)
+    got = {r.doc_id: r for r in queries.QUERIES["op4_syncmers"](spark, sf).collect()}
+    assert len(got) == len(rows)
+    hexed = lambda f: "".join(f"{x:016x}" for x in f)
+    for (i, t), (_, after) in zip(rows, rows[1:] + rows[:1]):
+        edited = t[: len(t) - len(t) // 3] + after[: len(t) // 3]
+        r, f, e = got[i], brute(t), brute(edited)
+        assert (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) == (len(t), hashlib.sha256(edited.encode()).hexdigest(), hexed(f), hexed(e))
+        assert abs(r.near_edited - alike(f, e)) < 1e-9 and abs(r.near_next - alike(f, brute(after))) < 1e-9
