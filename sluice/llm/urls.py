@@ -6,7 +6,8 @@ For each action a cascade is built over the complete universe of candidate keys
 level 0 holds the listed keys, level 1 those other keys of the universe that level 0 lets
 through, level 2 the listed keys that level 1 lets through, and so on until a level lets
 nothing through. The first level that lacks a key decides, so membership is exact for every
-key of the universe, and urls are judged without a join.
+key of the universe, and urls are judged without a join. Of very many rules the keys are dealt
+into parts by a hash, each with its own cascades, which are broadcast one part after another.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from sluice.llm.common import bounded_batches, cut
 #: Chance that a key passes by mistake: at level 0, and at later levels.
 FIRST, LATER = 1 / 64, 1 / 4
 
-#: Bits of all levels together that are broadcast at most (32 MB); beyond it rules are joined.
-MAX_BITS = 1 << 28
+#: Bits of the levels of one part of the keys, about, that are broadcast at once (32 MB).
+PART_BITS = 1 << 28
 
 MAX_LEVELS = 64
 
@@ -103,18 +104,15 @@ def _through(keys: DataFrame, levels: list[Level], number: int) -> DataFrame:
     return keys.filter(hit("a", "b"))
 
 
-def cascade(universe: DataFrame, listed: DataFrame) -> list[Level] | None:
-    """Levels over keys (hashes a and b of each); None if they would pass MAX_BITS."""
+def cascade(universe: DataFrame, listed: DataFrame) -> list[Level]:
+    """Levels over keys (hashes a and b of each)."""
     mine = cut(listed.select("a", "b").distinct())
     n = mine.count()
     levels: list[Level] = []
     if not n:
         return levels
-    total, other = 0, None
+    other = None
     for number in range(MAX_LEVELS):
-        total += _shape(n, number)[0]
-        if total > MAX_BITS:
-            return None
         levels.append(_level(mine, n, number))
         # what stands on the other side and passes this level goes into the next
         rest = _through(universe.select("a", "b") if other is None else other, levels, number)
@@ -148,7 +146,8 @@ def judge(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "
     host and all subdomains where the path starts with the rule's; the longest rule wins, of
     equally long ones that with the longer host, and block before allow for the same rule. Where
     none fits, rule is null and the verdict is `otherwise`: the key is in no list. A null url has
-    empty host and path. Repeated rows are judged alike; other columns are not carried.
+    empty host and path. Repeated rows are judged alike; an empty table gives no rows; other
+    columns are not carried.
     """
     spark = pages.sparkSession
     bounded_batches(spark)
@@ -163,13 +162,27 @@ def judge(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "
     keys = F.flatten(F.transform(hosts, lambda h: F.transform(ends, lambda n: F.concat(h, F.substring(F.col("path"), F.lit(1), n)))))
     base = base.withColumn("keys", keys)
     universe = _keyed(base.select(F.explode("keys").alias("c")), "c")
+    parts = max(1, -(-listed.count() * 2 * math.ceil(math.log2(1 / FIRST)) // PART_BITS))
+    base = base.withColumn("best", F.lit(None).cast(BEST))
+    for part in range(parts):
+        base = _judged(base, universe, listed, part, parts)
+        if parts > 1:  # one part's cascades at a time
+            base = cut(base)
+    verdict = F.when(F.col("best.action") == 1, "block").when(F.col("best.action") == 2, "allow").otherwise(otherwise)
+    return base.select(F.col("k").alias(key), "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"))
+
+
+#: The best rule so far, least first: the longest, of equally long ones that with the longer host.
+BEST = "struct<shorter:int,at:int,rule:string,action:int>"
+
+
+def _judged(base: DataFrame, universe: DataFrame, listed: DataFrame, part: int, parts: int) -> DataFrame:
+    """base with the best rule also of the keys of this part."""
     filters = {}
     for action in ("block", "allow"):
         mine = _keyed(listed.filter(F.col("action") == action).select("rule"), "rule")
-        filters[action] = cascade(universe, mine)
-    if None in filters.values():
-        return _joined(base, listed, key, otherwise)
-    sent = spark.sparkContext.broadcast(filters)
+        filters[action] = cascade(*(x.filter(F.pmod("b", F.lit(parts)) == part) if parts > 1 else x for x in (universe, mine)))
+    sent = base.sparkSession.sparkContext.broadcast(filters)  # PART_BITS about
 
     @F.pandas_udf("array<int>")
     def lists(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -179,20 +192,10 @@ def judge(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "
         got = np.where(member(sent.value["block"], x, y), 1, np.where(member(sent.value["allow"], x, y), 2, 0))
         return pd.Series(np.split(got.astype(np.int32), np.cumsum(sizes)[:-1])) if len(sizes) else pd.Series([], dtype=object)
 
-    a = F.transform("keys", lambda c: F.xxhash64(c))
-    b = F.transform("keys", lambda c: F.xxhash64(F.lit("second"), c))
-    judged = base.withColumn("found", lists(a, b))
-    fit = F.filter(F.arrays_zip("keys", "found"), lambda z: z["found"] > 0)
-    # hosts come longest first, so the first of the longest keys has the longest host
-    best = F.aggregate(fit, F.lit(None).cast("struct<keys:string,found:int>"), lambda s, z: F.when(s.isNull() | (F.length(z["keys"]) > F.length(s["keys"])), z).otherwise(s))
-    judged = judged.withColumn("best", best)
-    verdict = F.when(F.col("best.found") == 1, "block").when(F.col("best.found") == 2, "allow").otherwise(otherwise)
-    return judged.select(F.col("k").alias(key), "host", "path", F.col("best.keys").alias("rule"), verdict.alias("verdict"))
-
-
-def _joined(base: DataFrame, listed: DataFrame, key: str, otherwise: str) -> DataFrame:
-    """The same verdicts by a join, for lists whose cascade would be too large to broadcast."""
-    flat = base.withColumn("id", F.xxhash64("host", "path")).select("host", "path", F.posexplode("keys").alias("at", "rule")).distinct()
-    hit = flat.join(listed, "rule").groupBy("host", "path").agg(F.min_by(F.struct("rule", "action"), F.struct(-F.length("rule"), "at", F.col("action") != "block")).alias("best"))
-    rows = base.join(hit, ["host", "path"], "left")
-    return rows.select(F.col("k").alias(key), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(otherwise)).alias("verdict"))
+    # hosts come longest first, so of equally long keys the first has the longest host
+    own = F.transform("keys", lambda c, i: F.struct(c.alias("c"), i.cast("int").alias("at"), F.xxhash64(c).alias("a"), F.xxhash64(F.lit("second"), c).alias("b")))
+    own = F.filter(own, lambda x: F.pmod(x["b"], F.lit(parts)) == part) if parts > 1 else own
+    judged = base.withColumn("own", own).withColumn("found", lists(F.col("own.a"), F.col("own.b")))
+    fit = F.transform(F.filter(F.arrays_zip("own", "found"), lambda z: z["found"] > 0), lambda z: F.struct((-F.length(z["own"]["c"])).alias("shorter"), z["own"]["at"].alias("at"), z["own"]["c"].alias("rule"), z["found"].alias("action")))
+    best = F.array_min(F.concat(F.array_compact(F.array("best")), fit))
+    return judged.withColumn("best", best).drop("own", "found")
