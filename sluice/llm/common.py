@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 
 import numpy as np
@@ -71,9 +72,11 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one where it is unset, as in tests."""
+    """The folder that spark.checkpoint.dir names; a temporary one where it is unset on one machine, as in tests."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="sluice-checkpoint-"))
     return named or sc.getCheckpointDir()

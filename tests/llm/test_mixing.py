@@ -1,11 +1,13 @@
+import os
 import random
 import re
 from fractions import Fraction
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from sluice.llm import mixing
+from sluice.llm import mixing, queries
 
 
 def brute_targets(sizes):
@@ -109,3 +111,24 @@ def test_any_column_names(spark):
         assert list(r)[4:] == [f"{n}{r.doc_id}" for n in NAMES]
     with pytest.raises(ValueError, match="made here"):
         mixing.mix(df.select("doc_id", "text", "source", "__key"))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_query(spark):
+    """The registered columns against brute force and SQL."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    got = {r.doc_id: r for r in queries.QUERIES["op2_mixing"](spark, sf).collect()}
+    sizes, taken = {}, {}
+    for r in docs:
+        x, n = got[r.doc_id], len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+        assert x["size"] == n and 0 <= x.taken <= 3 * n
+        sizes[r.source], taken[r.source] = sizes.get(r.source, 0) + n, taken.get(r.source, 0) + x.taken
+    target = brute_targets(sizes)
+    for r in docs:
+        assert got[r.doc_id].source_size == sizes[r.source] and got[r.doc_id].target == pytest.approx(float(target[r.source]))
+    assert all(abs(taken[s] - target[s]) <= max(3, 0.002 * target[s]) for s in sizes)
+    con = duckdb.connect()
+    want = con.sql(f"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM '{sf}/documents.parquet')
+        SELECT doc_id, size, sum(size) OVER (PARTITION BY source) FROM d""").fetchall()
+    assert {(i, s, int(t)) for i, s, t in want} == {(r.doc_id, r["size"], r.source_size) for r in got.values()}
