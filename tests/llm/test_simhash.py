@@ -1,9 +1,11 @@
+import os
+
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from sluice.llm import copies, graph, simhash
+from sluice.llm import copies, graph, queries, simhash
 from tests_llm_helpers import find_components
 
 
@@ -106,7 +108,9 @@ def test_near_copies_against_all_pairs(spark):
     assert want[n - 3] == want[n - 4] and want[n - 1] != want[n - 2]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [graph.ONE_TASK, 0])
+def test_components(spark, one_task, monkeypatch):
+    monkeypatch.setattr(graph, "ONE_TASK", one_task)
     rng = np.random.default_rng(3)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(i, i + 1) for i in range(1000, 1100)] + [(2000, i) for i in range(1900, 2300)]
     df = spark.createDataFrame(pairs, "u long, v long")
@@ -114,11 +118,14 @@ def test_components(spark):
     want = find_components({x for p in pairs for x in p}, pairs)
     assert got == {k: v for k, v in want.items() if k != v}
     assert graph.components(df.filter(F.lit(False))).count() == 0
+    two = df.select(F.struct(F.col("u").alias("a"), F.lit(1).alias("b")).alias("u"), F.struct(F.col("v").alias("a"), F.lit(1).alias("b")).alias("v"))
+    assert {r.u.a: r.v.a for r in graph.components(two).collect()} == got
 
 
 def test_settled_is_exact(spark, monkeypatch):
     """Tables that agree in count and sum aren't taken for equal."""
     monkeypatch.setattr(graph, "_sum", lambda df: (df.count(), 0))
+    monkeypatch.setattr(graph, "ONE_TASK", 0)
     pairs = [(i, i + 1) for i in range(300)]
     got = {r.u: r.v for r in graph.components(spark.createDataFrame(pairs, "u long, v long")).collect()}
     assert got == {i: 0 for i in range(1, 301)}
@@ -168,3 +175,14 @@ def test_keep_one_leaves_columns_alone(spark):
     got = copies.keep_one(df)
     assert got.columns == df.columns
     assert got.collect() == [df.collect()[0]]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_query(spark):
+    """The registered columns against brute force over all pairs."""
+    sf = "/root/testdata/sf0.001"
+    rows = {r.doc_id: brute_fingerprint(r.text, 4) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    pairs = [(a, b) for a in rows for b in rows if a < b and (rows[a] ^ rows[b]).bit_count() <= 4]
+    label = find_components(rows, pairs)
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in queries.QUERIES["op1_simhash"](spark, sf).collect()}
+    assert got == {i: (f"{f:016x}", label[i]) for i, f in rows.items()}
