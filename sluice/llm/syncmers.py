@@ -92,15 +92,18 @@ def written(fingerprint: Column) -> Column:
     return F.array_join(F.transform(fingerprint, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
 
 
-def matches(a: Column, b: Column) -> Column:
-    """array<struct<place, move>> by place: the anchors that two sketches share, and how far each moves from a to b."""
-    theirs, ours = (F.transform(x, hash_of) for x in (b, a))
+def _pairs(a: Column, b: Column, shared: Column) -> Column:
     # both are in the order of their hashes, which are distinct, so what is shared stands in one order
-    mine = F.filter(a, lambda x: F.array_contains(theirs, hash_of(x)))
-    other = F.filter(b, lambda x: F.array_contains(ours, hash_of(x)))
+    mine, other = (F.filter(x, lambda y: F.array_contains(shared, hash_of(y))) for x in (a, b))
     return F.sort_array(F.zip_with(mine, other, lambda x, y: F.struct(place_of(x).alias("place"), (place_of(y) - place_of(x)).alias("move"))))
 
 
+def matches(a: Column, b: Column) -> Column:
+    """array<struct<place, move>> by place: the anchors that two sketches share, and how far each moves from a to b."""
+    both = F.struct(a.alias("a"), b.alias("b"), F.array_intersect(F.transform(a, hash_of), F.transform(b, hash_of)).alias("shared"))
+    return _bound(both, lambda x: _pairs(x["a"], x["b"], x["shared"]))
+
+
 def lined_up(pairs: Column) -> Column:
     """How many shared anchors move as far as the one before or after them; a single one does."""
     return _bound(pairs, lambda m: F.when(F.size(m) < 2, F.size(m)).otherwise(F.size(F.filter(m, lambda x, i: (x["move"] == F.get(m, i + 1)["move"]) | ((i > 0) & (x["move"] == F.get(m, F.greatest(i - 1, F.lit(0)))["move"]))))))
@@ -108,13 +111,17 @@ def lined_up(pairs: Column) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """0 to 1: of the SKETCH least hashes of both texts the share that both have, lined up; of two empty fingerprints 1."""
-    least = F.slice(F.sort_array(F.array_union(F.transform(a, hash_of), F.transform(b, hash_of))), 1, SKETCH)
 
-    def of(u):
-        within = lambda x: F.filter(x, lambda y: hash_of(y) <= F.element_at(u, -1))
-        return F.when(F.size(u) == 0, 1.0).otherwise(lined_up(matches(within(a), within(b))) / F.size(u))
+    def within(x):
+        """With the SKETCH least hashes of both."""
+        least = F.slice(F.sort_array(F.array_union(x["p"], x["q"])), 1, SKETCH)
+        return F.struct(x["a"].alias("a"), x["b"].alias("b"), F.size(least).alias("n"), F.array_intersect(F.array_intersect(x["p"], x["q"]), least).alias("shared"))
+
+    def share(x):
+        return F.when(x["n"] == 0, 1.0).when(F.size(x["shared"]) == 0, 0.0).otherwise(lined_up(_pairs(x["a"], x["b"], x["shared"])) / x["n"])
 
-    return _bound(least, of).cast("double")
+    both = F.struct(a.alias("a"), b.alias("b"), F.transform(a, hash_of).alias("p"), F.transform(b, hash_of).alias("q"))
+    return _bound(_bound(both, within), share).cast("double")
 
 
 def ranges(df: DataFrame, key: str, rows: int = RANGE_ROWS) -> list[int]:
