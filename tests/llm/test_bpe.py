@@ -1,4 +1,6 @@
 import base64
+import hashlib
+import os
 
 import numpy as np
 import public_tokenizers
@@ -7,7 +9,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sluice.llm import bpe
+from sluice.llm import bpe, queries
 
 NAMES = ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken")
 
@@ -73,3 +75,18 @@ def test_memory_starts_anew(monkeypatch, pair):
     for _ in range(50):
         text = " ".join("".join(rng.choice(list("abcdeth"), 8)) for _ in range(6))
         assert mine.encode(text).tolist() == theirs.encode_ordinary(text)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_query(spark):
+    """The registered columns against the library, text by text."""
+    sf = "/root/testdata/sf0.001"
+    with open(public_tokenizers.path(NAMES[0]), "rb") as f:
+        ranks = bpe.read_ranks(f.read())
+    theirs = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = {r.doc_id: r for r in queries.QUERIES["op10_byte_bpe"](spark, sf).collect()}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        ids, x = theirs.encode_ordinary(r.text or ""), got.pop(r.doc_id)
+        assert (x.n_tokens, x.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+        assert x.decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
+    assert not got
