@@ -8,6 +8,10 @@ in the support's own counters, so memory grows with the support and not with its
 Steps run in numpy: on the driver for one sketch of up to LOCAL_FLOWS flows, in one task a
 group for many sketches, and over partitioned flows, with only the pick and the residual
 travelling, for one sketch of more.
+
+Fewer steps than flows are a matter of one sketch. A step for each flow asks for every total, and
+no more totals come back than a sketch has counters, so there keys are dealt by a hash over as many
+sketches as give a flow about COLUMNS_A_FLOW columns, and each sketch has its own pursuit.
 """
 
 from __future__ import annotations
@@ -30,6 +34,9 @@ from sluice.operators.sketch import build_sketch, flatten
 #: Flows that are brought to the driver at most (40 bytes each).
 LOCAL_FLOWS = 2_000_000
 
+#: Columns of a sketch for each of its flows, about, where every total is asked for (1,024 flows to 16,384 columns).
+COLUMNS_A_FLOW = 16
+
 #: Flows of a support up to which its inverse is held (128 MB), and the accuracy of a sparse solution beyond.
 DENSE, ACCURACY = 4096, 1e-13
 
@@ -170,6 +177,8 @@ def omp(y: np.ndarray, positions: np.ndarray, most: int, config: SketchConfig =
     only, and at all of them every full_scan_every steps or where those give none: faster with
     many flows, but it may pick in another order."""
     n = len(positions)
+    used = np.unique(np.append(positions, np.flatnonzero(y)))  # the other counters are 0 and stay 0
+    y, positions = y[used], np.searchsorted(used, positions).reshape(n, config.rows)
     solver, x, free, support = Solver(y, config), np.zeros(n), np.ones(n, bool), []
     by_position = np.argsort(positions.ravel(), kind="stable") if restricted else None
     sorted_positions = positions.ravel()[by_position] if restricted else None
@@ -243,34 +252,80 @@ def _recover(flows: DataFrame, y: DataFrame, most: int | None, config: SketchCon
 def recover(packets: DataFrame, most: int | None = None, config: SketchConfig = DEFAULT, restricted: bool = False) -> DataFrame:
     """flow_id, key, true_x, x, selected of each flow; most: steps at most (None: as many as flows).
 
-    One sketch: its measurements are of fixed size. The true totals are for comparison and take
-    no part. Packets with a null key are left out, null weights count 0.
+    With fewer steps than flows there is one sketch: its measurements are of fixed size. With a
+    step for each flow and more flows than one is for there are several (see above), each
+    recovered in a task. The true totals are for comparison and take no part. Packets with a null key are left
+    out, null weights count 0.
     """
+    n = _flows_if_all(packets, most, config)
+    if n > _room(config):
+        return _with_truth(_over_sketches(packets, n, config, restricted), packets, config)
     flows = flow_table(packets, config)
-    found = _recover(flows, flatten(build_sketch(packets, config), config), most, config, restricted)
-    return found.join(flows.select("key", "true_x"), "key").select("flow_id", "key", "true_x", "x", "selected")
+    return _with_truth(_recover(flows, flatten(build_sketch(packets, config), config), most, config, restricted), packets, config, flows)
+
+
+def _room(config: SketchConfig) -> int:
+    """Flows of a sketch, about, where every total is asked for."""
+    return max(1, config.columns // COLUMNS_A_FLOW)
+
+
+def _flows_if_all(packets: DataFrame, most: int | None, config: SketchConfig) -> int:
+    """The number of flows where there is a step for each of them, or else 0."""
+    if most is not None and most <= _room(config):
+        return 0
+    n = packets.agg(F.count_distinct("key")).first()[0]
+    return n if most is None or most >= n else 0
+
+
+def _over_sketches(packets: DataFrame, n: int, config: SketchConfig, restricted: bool) -> DataFrame:
+    """key, x, selected of all n flows, from as many sketches as they need."""
+    dealt = packets.withColumn("__sketch", _dealt(F.lit(-(-n // _room(config)))))
+    return _in_tasks(dealt, ("__sketch",), None, config, restricted).select("key", "x", "selected")
+
+
+def _dealt(sketches):
+    """Which of so many sketches a key belongs to."""
+    return F.pmod(F.xxhash64("key"), sketches.cast("bigint"))
+
+
+def _with_truth(found: DataFrame, packets: DataFrame, config: SketchConfig, flows: DataFrame | None = None) -> DataFrame:
+    flows = flow_table(packets, config) if flows is None else flows
+    return found.select("key", "x", "selected").join(flows.select("flow_id", "key", "true_x"), "key").select("flow_id", "key", "true_x", "x", "selected")
 
 
 def recover_grouped(packets: DataFrame, by: str, most: int | None = None, config: SketchConfig = DEFAULT, restricted: bool = False) -> DataFrame:
     """One recovery for each value of `by`, side by side: by, key, true_x, x, selected.
 
     Packets are summed by group and key, and by group and counter, before they are shuffled to
-    their group; a group's task holds its flows and one sketch.
+    their group; a group's task holds its flows and one sketch. A group with a step for each
+    of more flows than one sketch is for has several sketches, and a task for each.
     """
+    sizes = packets.groupBy(by).agg(F.count_distinct("key").alias("__n"))
+    large = sizes.filter(F.col("__n") > _room(config))
+    if most is not None:
+        large = large.filter(F.col("__n") <= most)
+    large = large.select(F.col(by).alias("__by"), F.ceil(F.col("__n") / _room(config)).alias("__sketches"))  # few: each stands for more flows than a sketch
+    dealt = packets.join(F.broadcast(large), F.col(by).eqNullSafe(F.col("__by")), "left")
+    dealt = dealt.withColumn("__sketch", _dealt(F.coalesce("__sketches", F.lit(1)))).drop("__by", "__sketches")
+    return _in_tasks(dealt, (by, "__sketch"), most, config, restricted).select(by, "key", "true_x", "x", "selected")
+
+
+def _in_tasks(packets: DataFrame, by: tuple[str, ...], most: int | None, config: SketchConfig, restricted: bool) -> DataFrame:
+    """The columns of `by`, key, true_x, x, selected: a recovery in a task for each value of `by`."""
     ship(packets.sparkSession)
-    kind = packets.schema[by].dataType.simpleString()
+    kinds = "".join(f"`{c}` {packets.schema[c].dataType.simpleString()}, " for c in by)
     packets = packets.filter("key IS NOT NULL")
-    totals = packets.groupBy(by, "key").agg(F.sum("weight").cast("double").alias("value"), F.min("seq").alias("seq"))
-    flows = totals.select(by, "key", "seq", "value", F.lit(-1).alias("pos"))
-    y = build_sketch(packets, config, (by,)).select(by, F.lit(0).cast("bigint").alias("key"), F.lit(0).cast("bigint").alias("seq"), F.col("value").cast("double").alias("value"), (F.col("row") * config.columns + F.col("col")).cast("int").alias("pos"))
+    totals = packets.groupBy(*by, "key").agg(F.coalesce(F.sum("weight"), F.lit(0)).cast("double").alias("value"), F.min("seq").alias("seq"))
+    flows = totals.select(*by, "key", "seq", "value", F.lit(-1).alias("pos"))
+    y = build_sketch(packets, config, by).select(*by, F.lit(0).cast("bigint").alias("key"), F.lit(0).cast("bigint").alias("seq"), F.col("value").cast("double").alias("value"), (F.col("row") * config.columns + F.col("col")).cast("int").alias("pos"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         own = pdf[pdf["pos"] < 0].sort_values(["seq", "key"])
         keys = own["key"].to_numpy(np.int64)
         found = omp(_dense(pdf[pdf["pos"] >= 0], config), positions_of(keys, config), len(keys) if most is None else most, config, restricted)
-        return pd.DataFrame({by: pdf[by].iloc[0], "key": keys, "true_x": own["value"].to_numpy(), "x": found.x, "selected": found.selected})
+        return pd.DataFrame({**{c: pdf[c].iloc[0] for c in by}, "key": keys, "true_x": own["value"].to_numpy(), "x": found.x, "selected": found.selected})
 
-    return flows.unionByName(y).groupBy(by).applyInPandas(run, f"`{by}` {kind}, key bigint, true_x double, x double, selected boolean")
+    return flows.unionByName(y).groupBy(*by).applyInPandas(run, f"{kinds}key bigint, true_x double, x double, selected boolean")
 
 
 def positions_of(keys: np.ndarray, config: SketchConfig = DEFAULT) -> np.ndarray:
@@ -288,10 +343,16 @@ def positions_of(keys: np.ndarray, config: SketchConfig = DEFAULT) -> np.ndarray
 
 
 def recover_distributed(packets: DataFrame, most: int | None = None, config: SketchConfig = DEFAULT, restricted: bool = False) -> DataFrame:
-    """As recover, with flows left on the executors whatever their number (None: a step for each flow)."""
+    """As recover, with flows left on the executors whatever their number.
+
+    Fewer steps than flows take a job each. With a step for each flow (None) there is one job, a
+    task for each of as many sketches as the flows need.
+    """
+    n = packets.agg(F.count_distinct("key")).first()[0] if most is None else _flows_if_all(packets, most, config)
+    if most is None or n:
+        return _with_truth(_over_sketches(packets, max(1, n), config, restricted), packets, config)
     flows = flow_table(packets, config)
-    found = _over_partitions(flows, flatten(build_sketch(packets, config), config), most, config, restricted)
-    return found.join(flows.select("key", "true_x"), "key").select("flow_id", "key", "true_x", "x", "selected")
+    return _with_truth(_over_partitions(flows, flatten(build_sketch(packets, config), config), most, config, restricted), packets, config, flows)
 
 
 def _over_partitions(flows: DataFrame, y: DataFrame, most: int | None, config: SketchConfig, restricted: bool) -> DataFrame:

@@ -290,7 +290,7 @@ def _rounded(df):
 
 @query(_TRUTH)
 def omp_full_recovery(spark, sf_dir):
-    """With a step for each flow the sketch gives back every total."""
+    """With a step for each flow the sketch (or sketches, for many flows) gives back every total."""
     return _rounded(recovery.recover(packets.events(spark, sf_dir)))
 
 
@@ -347,7 +347,7 @@ def omp_distributed(spark, sf_dir):
 
 @query(_TRUTH)
 def omp_distributed_recovery(spark, sf_dir):
-    """The whole loop over partitioned flows, a job a step, with a step for each flow."""
+    """The whole loop over partitioned flows, a task a sketch, with a step for each flow."""
     return _rounded(recovery.recover_distributed(packets.events(spark, sf_dir)))
 
 

@@ -282,3 +282,19 @@ def test_running_sums(spark):
         p = spark.createDataFrame([(w,) for w in weights], "weight long")
         known = [w for w in weights if w is not None]
         assert metrics.weight_stats(p).first()["median"] == (float(np.median(known)) if known else 0.0)
+
+
+def test_more_flows_than_a_sketch_determines(spark):
+    """A step for each flow gives every total back, though one sketch has fewer counters than there are flows."""
+    config = SketchConfig(columns=64)
+    rows = [(i, i % 400, 1 + i * 7919 % 5000) for i in range(1200)]
+    p = make(spark, rows)
+    truth = {k: float(sum(w for _, key, w in rows if key == k)) for k in range(400)}
+    for restricted in (False, True):
+        got = {r.key: r for r in recovery.recover(p, None, config, restricted).collect()}
+        assert {k: (round(r.x), r.true_x) for k, r in got.items()} == {k: (t, t) for k, t in truth.items()}
+        assert sorted(r.flow_id for r in got.values()) == list(range(400))
+    assert {r.key: round(r.x) for r in recovery.recover_distributed(p, None, config).collect()} == truth
+    two = p.withColumn("g", F.lit("a")).union(p.filter("key < 3").withColumn("g", F.lit(None)))
+    grouped = {(r.g, r.key): round(r.x) for r in recovery.recover_grouped(two, "g", None, config).collect()}
+    assert grouped == {**{("a", k): t for k, t in truth.items()}, **{(None, k): truth[k] for k in range(3)}}
