@@ -49,6 +49,9 @@ CHUNK, FLUSH, BUCKET_BYTES = 1 << 19, 500_000, 48 << 20
 #: Different phrases of a trigger, in one thinning and in all, up to which they are gathered.
 LOCAL_PHRASES, PHRASES = 64, 4096
 
+#: Contents combined at a time, about (whole triggers): each takes some 10 KB meanwhile.
+CONTENTS_AT_ONCE = 8192
+
 #: Bits of the broadcast filter of documents (6 MB), tasks that fill it, and the share of set bits beyond which it isn't used.
 FILTER_BITS, FILTER_TASKS, FILTER_FULL = 48_000_000, 12, 0.6
 
@@ -378,10 +381,25 @@ def parse_order(key: np.ndarray, rows: np.ndarray, text: np.ndarray, sizes: np.n
 def dictionary_repeats(a: np.ndarray, contents: list[bytes]) -> np.ndarray:
     """Windows (doc, at) of the asked occurrences that an earlier one holds too, as ranges.
 
-    a: the occurrences, contents: their bytes. Rows for the same place count once.
+    a: the occurrences, contents: their bytes. Rows for the same place count once. Only windows of
+    one trigger can be equal, so triggers are combined a number at a time.
     """
-    if not len(a):
-        return np.empty(0, RANGE)
+    order = np.argsort(a["k"], kind="stable")
+    k, found, low = a["k"][order], [], 0
+    while low < len(a):
+        high = int(np.searchsorted(k, k[min(low + CONTENTS_AT_ONCE, len(k)) - 1], "right"))
+        some = order[low:high]
+        found.append(_triggers_repeats(a[some], [contents[i] for i in some]))
+        low = high
+    w = _join(found, RANGE)
+    if len(found) < 2 or not len(w):
+        return w
+    w = w[np.lexsort((w["start"], w["doc"]))]
+    return _union(w["doc"], w["start"].astype(np.int64), w["end"].astype(np.int64))
+
+
+def _triggers_repeats(a: np.ndarray, contents: list[bytes]) -> np.ndarray:
+    """As dictionary_repeats, of some triggers in one go."""
     order = np.lexsort((a["at"], a["doc"], a["k"]))
     a, contents = a[order], [contents[i] for i in order]
     new = np.append(True, (a["doc"][1:] != a["doc"][:-1]) | (a["at"][1:] != a["at"][:-1]) | (a["k"][1:] != a["k"][:-1]))

@@ -205,3 +205,25 @@ def test_small_alphabets(spark, seed):
     r = random.Random(seed)
     parts = ["".join(r.choice("ab") for _ in range(r.randint(1, 150))) for _ in range(12)] + ["c" * 70, "ab" * 40]
     check(spark, ["".join(r.choice(parts) for _ in range(r.randint(1, 12))) for _ in range(60)])
+
+
+def test_contents_are_combined_in_parts(monkeypatch):
+    """Memory doesn't grow with the contents of a task, and parts give what all at once do."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    m = 30_000
+    a = np.zeros(m, suffixes.ASK)
+    a["k"], a["doc"] = rng.integers(1, m // 20, m), np.sort(rng.integers(0, m, m))
+    a["at"], a["more"], a["off"] = np.arange(m) * 200, 40, 60
+    pool = [rng.integers(97, 123, 140).astype(np.uint8).tobytes() for _ in range(50)]
+    contents = [pool[i][:60] + pool[k % 50][60:140] for i, k in zip(rng.integers(0, 3, m).tolist(), a["k"].tolist())]
+    tracemalloc.start()
+    parts = suffixes.dictionary_repeats(a, contents)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6
+    monkeypatch.setattr(suffixes, "CONTENTS_AT_ONCE", m)
+    assert len(parts) and (parts == suffixes.dictionary_repeats(a, contents)).all()
+    monkeypatch.setattr(suffixes, "CONTENTS_AT_ONCE", 1)
+    assert (parts == suffixes.dictionary_repeats(a, contents)).all()
