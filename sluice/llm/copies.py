@@ -20,6 +20,10 @@ SimHash with pigeonring filtering searches them; shingle by shingle comparison d
    alike, and each row's NEAREST most alike, never all pairs.
 5. Candidates are compared shingle by shingle, first some of the best of each text, then all
    that are left between the groups which these make. Only these comparisons link.
+6. What the search may have missed comes from an exact prefix filter: of two sets with the index
+   p/q each has a common shingle among its first n - ceil(n * p / q) + 1 in one order of all
+   shingles (the frequent ones last). Sets that meet so, that sizes and the shingle's places
+   allow the index, and that aren't in one group yet, are all compared, with no cap.
 """
 
 from __future__ import annotations
@@ -49,6 +53,9 @@ NEAREST, SHIFTS, HELD = 1, 48, 3000
 #: Candidates of a text that are compared first, the best of so many parts of all it has.
 CHOICES = 8
 
+#: Shingles counted at a time, least count there of one that is told of, and frequent shingles that the order knows at most (it alone depends on them, no result).
+COUNTED, OFTEN, FREQUENT = 2_000_000, 4, 500_000
+
 #: Keys of a bucket about, sets whose keys are packed at a time, rows compared at a time.
 BUCKET_KEYS, FLUSH, CHUNK = 1_000_000, 4000, 50_000
 
@@ -262,8 +269,8 @@ def candidates(classes: DataFrame, words: int, least: tuple[int, int]) -> DataFr
     return cut(met.groupBy("u", "v").agg(F.count("*").alias("n"), F.min("d").alias("d")))
 
 
-def _compare(pairs: DataFrame, wholes: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """The pairs (u, v) within the budget whose sets have the index. wholes: id, f, whole."""
+def _compare(pairs: DataFrame, wholes: DataFrame, least: tuple[int, int], bounded: bool = True) -> DataFrame:
+    """The pairs (u, v), of those within the budget where it is bounded, whose sets have the index. wholes: id, f, whole."""
     p, q = least
 
     def verify(batches):
@@ -276,7 +283,7 @@ def _compare(pairs: DataFrame, wholes: DataFrame, least: tuple[int, int]) -> Dat
                     one, mark = whole, f
                     keep.append(False)
                     continue
-                few = len(whole) < FEW or len(one) < FEW
+                few = not bounded or len(whole) < FEW or len(one) < FEW
                 if not few and int(np.bitwise_count(mark ^ f).sum(dtype=np.int64)) > MOST:
                     keep.append(False)
                     continue
@@ -322,11 +329,149 @@ def _best(edges: DataFrame) -> DataFrame:
     return cut(ends[0].unionByName(ends[1]).groupBy("of", "part").agg(F.min_by("pair", "o").alias("pair")).select("pair.u", "pair.v").distinct())
 
 
+def _wholes(rows: DataFrame, classes: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """id, f, whole: the shingle sets of all ids in pairs (u, v), from the texts (rows: k, t)."""
+    asked = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
+    asked = cut(classes.join(asked, "id").select("id", "c", "rep"))
+    wanted = filter_of(asked.select(F.xxhash64("rep").alias("h")))
+    some = rows.filter(passing(wanted)(F.xxhash64("k"))) if wanted is not None else rows
+
+    def whole(batches):
+        held("copies")
+        for b in batches:
+            found = [shingles(t, words) for t in strings(b.column(0))]
+            yield pa.RecordBatch.from_arrays([_names(found), pa.array([r.tobytes() for r in wide(found)], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], names=["c", "f", "whole"])
+
+    wholes = some.select("t").mapInArrow(tidy(whole), "c long, f binary, whole binary").join(asked.select("id", "c"), "c")
+    return cut(wholes.groupBy("id").agg(F.first("f").alias("f"), F.first("whole").alias("whole")))
+
+
+def _names(sets: list[np.ndarray]) -> pa.Array:
+    return pa.array(np.array([xxhash.xxh3_64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64))
+
+
+def _frequent(found: DataFrame):
+    """A broadcast of the most frequent shingles, ascending, and how often they stand (as their counts at a time tell)."""
+
+    def read(batches):
+        for b in batches:
+            for data in b.column(0).to_pylist():
+                a = np.frombuffer(data, np.int64).reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(a[0]), pa.array(a[1])], names=["s", "n"])
+
+    told = found.filter("often IS NOT NULL").select("often").mapInArrow(tidy(read), "s long, n long")
+    top = told.groupBy("s").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s").limit(FREQUENT).toArrow()  # 16 bytes each
+    s, n = top.column("s").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    order = np.argsort(s)
+    return found.sparkSession.sparkContext.broadcast((s[order], n[order]))
+
+
+def first_shingles(s: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], least: tuple[int, int]) -> np.ndarray:
+    """The shingles by one of which a set meets every other with the index, the rarest first."""
+    p, q = least
+    known, times = frequent
+    n = np.zeros(len(s), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+        n = np.where(known[at] == s, times[at], 0)
+    return s[np.lexsort((s, n))[: len(s) - -(-len(s) * p // q) + 1]]
+
+
+def _met(key: np.ndarray, ids: np.ndarray, label: np.ndarray, size: np.ndarray, place: np.ndarray, least: tuple[int, int]):
+    """(u, v) in parts: all pairs of one key and different labels whose sizes, and the key's places, allow the index. Rows by key."""
+    p, q = least
+    ends = np.searchsorted(key, key, "right")
+    low = 0
+    while low < len(key):
+        pairs = np.cumsum(ends[low:] - np.arange(low, len(key)) - 1)
+        high = low + max(1, int(np.searchsorted(pairs, CHUNK * 20, "right")))
+        each = ends[low:high] - np.arange(low, high) - 1
+        a = np.repeat(np.arange(low, high), each)
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(each) - each, each)
+        differ = label[a] != label[b]
+        a, b = a[differ], b[differ]
+        need = p * (size[a] + size[b])  # of p + q times what two sets have in common
+        most = np.minimum(size[a] - place[a], size[b] - place[b])  # if no earlier shingle is common
+        fits = (p + q) * most >= need
+        if fits.any():
+            u, v = ids[a[fits]], ids[b[fits]]
+            yield np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0)
+        low = high
+
+
+def _missed(rows: DataFrame, classes: DataFrame, groups: DataFrame, frequent, words: int, least: tuple[int, int]) -> DataFrame:
+    """u, v: all pairs that may have the index and aren't in one group. groups: u -> v, its least."""
+    spark = rows.sparkSession
+
+    def prefixes(batches):
+        held("copies")
+        for b in batches:
+            found = [s for s in (shingles(t, words) for t in strings(b.column(0))) if len(s)]
+            firsts = [zstandard.compress(first_shingles(s, frequent.value, least).tobytes(), 1) for s in found]
+            yield pa.RecordBatch.from_arrays([_names(found), pa.array([len(s) for s in found], pa.int64()), pa.array(firsts, pa.binary())], names=["c", "n", "firsts"])
+
+    own = rows.select("t").mapInArrow(tidy(prefixes), "c long, n long, firsts binary").groupBy("c").agg(F.first("n").alias("n"), F.first("firsts").alias("firsts"))
+    labelled = classes.select("id", "c").join(groups.select(F.col("u").alias("id"), F.col("v").alias("label")), "id", "left")
+    own = cut(own.join(labelled, "c").select("id", F.coalesce("label", "id").alias("label"), "n", "firsts"))
+    total = own.agg(F.sum(F.floor(F.col("n") / 5) + 1)).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_KEYS))
+
+    def pack(parts) -> pa.RecordBatch:
+        ids, label, n = (np.array(c, np.int64) for c in parts[:3])
+        firsts = parts[3]
+        each = np.array([len(f) for f in firsts], np.int64)
+        key = np.concatenate([np.empty(0, np.uint64), *firsts])
+        of = np.repeat(np.arange(len(ids)), each)
+        place = np.arange(len(key)) - np.repeat(np.cumsum(each) - each, each)
+        with np.errstate(over="ignore"):
+            bucket = (key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(buckets)
+        order = np.lexsort((key, bucket))
+        key, of, place, bucket = key[order], of[order], place[order], bucket[order]
+        cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
+        blobs = []
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            o = of[i:j]
+            columns = [key[i:j].view(np.int64), ids[o], label[o] - ids[o], n[o], place[i:j]]
+            blobs.append(zstandard.compress(np.stack(columns).tobytes(), 1))
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "data"])
+
+    def send(batches):
+        held("copies")
+        parts: list = [[], [], [], []]
+        for b in batches:
+            for i in range(3):
+                parts[i] += b.column(i).to_pylist()
+            parts[3] += [np.frombuffer(zstandard.decompress(f), np.uint64) for f in b.column(3).to_pylist()]
+            if sum(map(len, parts[3])) >= BUCKET_KEYS:
+                yield pack(parts)
+                parts = [[], [], [], []]
+        if parts[0]:
+            yield pack(parts)
+
+    def meet(batches):
+        held("copies")
+        parts = [np.empty((5, 0), np.int64)]
+        for b in batches:
+            parts += [np.frombuffer(zstandard.decompress(d), np.int64).reshape(5, -1) for d in b.column(1).to_pylist()]
+        a = np.concatenate(parts, axis=1)
+        del parts
+        a = a[:, np.argsort(a[0], kind="stable")]
+        same = a[0, 1:] == a[0, :-1]
+        a = a[:, np.append(same, False) | np.append(False, same)] if a.shape[1] else a
+        for pairs in _met(a[0], a[1], a[1] + a[2], a[3], a[4], least):
+            for low in range(0, len(pairs), 100_000):
+                part = pairs[low : low + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy())], names=["u", "v"])
+
+    blobs = own.select("id", "label", "n", "firsts").mapInArrow(tidy(send), BLOB)
+    return cut(blobs.repartitionById(buckets, F.col("bucket")).mapInArrow(tidy(meet), "u long, v long").distinct())
+
+
 def near(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, least: tuple[int, int] = LEAST) -> DataFrame:
     """Key and component_id of each row with words: the least key that can be reached over near copies.
 
-    Only pairs of the Jaccard index p/q or more link, by comparison of whole shingle sets; nearly
-    all of them are found (see README). Equal sets are one class, of any number of rows. Rows
+    Only pairs of the Jaccard index p/q or more link, by comparison of whole shingle sets, and
+    every such pair is in one component. Equal sets are one class, of any number of rows. Rows
     without words, empty or null, are near no other and give no row. A null key gets a row and
     its component's least key (null if all are). Repeated rows give a row each; other columns
     are not carried; an empty table gives no rows. Shingles and sets are known by 64 bits of
@@ -337,39 +482,44 @@ def near(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WO
     rows = df.select(column(key).alias("k"), column(text).alias("t"))
     kind = rows.schema["k"].dataType.simpleString()
 
+    def counts(seen: list, arrow_kind: pa.DataType) -> pa.RecordBatch:
+        found, times = np.unique(np.concatenate(seen), return_counts=True)
+        often = times >= OFTEN
+        data = found[often].tobytes() + times[often].astype(np.uint64).tobytes()
+        nothing = [pa.nulls(1, t) for t in (pa.int64(), pa.binary(), pa.binary())]
+        return pa.RecordBatch.from_arrays([pa.nulls(1, arrow_kind), *nothing, pa.array([data], pa.binary())], names=["k", "c", "f", "head", "often"])
+
     def sets(batches):
         held("copies")
+        seen, size = [], 0
         for b in batches:
             found = [shingles(t, words) for t in strings(b.column(1))]
             some = [i for i, s in enumerate(found) if len(s)]
             found = [found[i] for i in some]
             heads = [s[: len(s) - -(-len(s) * p // q) + 1].tobytes() if len(s) * p < FEW * q else b"" for s in found]
-            names = np.array([xxhash.xxh3_64_intdigest(s.tobytes(), SEED) for s in found], np.uint64).view(np.int64)
             prints = [r.tobytes() for r in wide(found)]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some, pa.int64())), pa.array(names), pa.array(prints, pa.binary()), pa.array(heads, pa.binary())], names=["k", "c", "f", "head"])
-
-    own = cut(rows.mapInArrow(tidy(sets), f"k {kind}, c long, f binary, head binary"))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some, pa.int64())), _names(found), pa.array(prints, pa.binary()), pa.array(heads, pa.binary()), pa.nulls(len(some), pa.binary())], names=["k", "c", "f", "head", "often"])
+            seen += found
+            size += sum(map(len, found))
+            if size >= COUNTED:
+                yield counts(seen, b.column(0).type)
+                seen, size = [], 0
+        if size:
+            yield counts(seen, b.column(0).type)
+
+    both = cut(rows.mapInArrow(tidy(sets), f"k {kind}, c long, f binary, head binary, often binary"))
+    own = both.filter("c IS NOT NULL").drop("often")
     classes = own.groupBy("c").agg(F.min("k").alias("rep"), F.first("f").alias("f"), F.first("head").alias("head"))
     classes = cut(classes.withColumn("id", F.monotonically_increasing_id()))
     edges = candidates(classes, words, least)
-    asked = edges.select(F.col("u").alias("id")).union(edges.select("v")).distinct()
-    asked = cut(classes.join(asked, "id").select("id", "c", "rep"))
-    wanted = filter_of(asked.select(F.xxhash64("rep").alias("h")))
-    some = rows.filter(passing(wanted)(F.xxhash64("k"))) if wanted is not None else rows
-
-    def whole(batches):
-        held("copies")
-        for b in batches:
-            found = [shingles(t, words) for t in strings(b.column(0))]
-            names = np.array([xxhash.xxh3_64_intdigest(s.tobytes(), SEED) for s in found], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([r.tobytes() for r in wide(found)], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], names=["c", "f", "whole"])
-
-    wholes = some.select("t").mapInArrow(tidy(whole), "c long, f binary, whole binary").join(asked.select("id", "c"), "c")
-    wholes = cut(wholes.groupBy("id").agg(F.first("f").alias("f"), F.first("whole").alias("whole")))
+    wholes = _wholes(rows, classes, edges, words)
     tested = _best(edges)
     links = _compare(tested, wholes, least)
     left = cut(_between(edges, components(links), tested))
-    links = links.union(_compare(_within(left, wholes), wholes, least))
+    links = cut(links.union(_compare(_within(left, wholes), wholes, least)))
+    missed = _missed(rows, classes, components(links), _frequent(both), words, least)
+    if not missed.isEmpty():
+        links = links.union(_compare(missed, _wholes(rows, classes, missed, words), least, bounded=False))
     least_of = components(links)
     labelled = cut(classes.select(F.col("id").alias("u"), "c", "rep").join(least_of, "u", "left").select("c", "rep", F.coalesce("v", "u").alias("label")))
     of = cut(labelled.groupBy("label").agg(F.min("rep").alias("component_id")))

@@ -144,3 +144,29 @@ def test_every_stage_against_brute_force(spark, tmp_path):
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     want = sorted((r.doc_id, library.encode_ordinary(r.text), hashlib.sha256(r.text.encode()).hexdigest()) for r in mixed.collect())
     assert sorted((r.doc_id, list(r.ids), r.decoded_sha256) for r in step("tokens", mixed).collect()) == want
+
+
+def test_links_that_the_search_misses(spark, monkeypatch):
+    """Near copies are found whatever candidates SimHash gives, even none."""
+    import random
+
+    from sluice.llm import copies
+
+    r = random.Random(5)
+    frequent = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(60):
+        base = [f"u{r.randrange(5000)}" for _ in range(r.choice([3, 8, 30, 120]))] + (frequent if i % 2 else [])
+        for c in range(3):
+            words = list(base)
+            for _ in range(r.randrange(4)):
+                words[r.randrange(len(words))] = f"x{r.randrange(5000)}"
+            rows.append((len(rows), " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_one_of_each(df.collect())
+    assert 60 <= len(want) < 150
+    monkeypatch.setattr(copies, "OFTEN", 1)
+    assert {x.doc_id for x in copies.keep_one(df).collect()} == want
+    nothing = spark.createDataFrame([], "u long, v long, n long, d int")
+    monkeypatch.setattr(copies, "candidates", lambda *_: nothing)
+    assert {x.doc_id for x in copies.keep_one(df).collect()} == want
