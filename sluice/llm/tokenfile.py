@@ -6,7 +6,7 @@ reset to the prior, and has a checksum, so that a damaged block is found and spo
 All blocks of a segment are coded side by side, one lane of numpy arrays each.
 
 The prior is what a block starts from: how often each id stands in the segment (order 0) and
-which id follows each most often (order 1, from a sample of pairs of a fixed size). In a lane
+which id follows each most often (order 1, from all pairs). In a lane
 the order-2 model learns which id came last after the two before. For each id the order-2 guess,
 or the order-1 guess where there is none, is coded as right or wrong, with a probability mixed
 in the logistic domain, by weights that learn, from what the orders 2, 1 and 0 give the guessed
@@ -39,8 +39,8 @@ MAGIC, VERSION = b"SLTK", 2
 BLOCK_IDS, SEGMENT_IDS = 4096, 6 << 20
 RANGE_ROWS = 4000
 
-#: Slots of a lane's order-2 guesses, pairs that the order-1 prior is counted from, and the least times that a pair of it is seen.
-SLOTS, PAIRS, SEEN = 2048, 1 << 19, 3
+#: Slots of a lane's order-2 guesses, and the least times that a pair of the order-1 prior is seen.
+SLOTS, SEEN = 2048, 3
 
 #: Bits of a mixed probability, and of an order-0 one. Grades of trust in an order-1 guess.
 P_BITS, ID_BITS, GRADES = 12, 16, 16
@@ -184,8 +184,7 @@ class Prior:
             parts[int(parts.argmax())] += whole - other - int(parts.sum())
         else:
             other = whole
-        step = max(1, (len(ids) - 1) // PAIRS + 1)
-        pairs, times = np.unique(ids[:-1:step].astype(np.uint64) << np.uint64(32) | ids[1::step].astype(np.uint64), return_counts=True)
+        pairs, times = np.unique(ids[:-1].astype(np.uint64) << np.uint64(32) | ids[1:].astype(np.uint64), return_counts=True)
         before = pairs >> np.uint64(32)
         all_of = np.zeros(len(pairs), np.int64)
         order = np.lexsort((-times, before))

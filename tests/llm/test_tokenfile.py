@@ -142,3 +142,16 @@ def test_many_ranges(spark, tmp_path, monkeypatch):
         assert (r.doc_id, r.start, zlib.crc32(r.ids)) == (k, at, zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
     assert len(list((tmp_path / "a").glob("part-*"))) > 5
+
+
+def test_prior_counts_every_pair():
+    """A pair that stands seldom in a long segment, and only at odd places, is known to the prior."""
+    import numpy as np
+
+    from sluice.llm import tokenfile
+
+    ids = np.tile(np.array([10, 11], np.int64), 600_000)
+    ids[[100_001, 300_001, 500_001]] = 77
+    ids[[100_002, 300_002, 500_002]] = 78
+    prior = tokenfile.Prior.of(ids)
+    assert dict(zip(prior.after.tolist(), prior.follower.tolist()))[77] == 78
