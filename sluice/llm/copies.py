@@ -22,8 +22,9 @@ SimHash with pigeonring filtering searches them; shingle by shingle comparison d
    that are left between the groups which these make. Only these comparisons link.
 6. What the search may have missed comes from an exact prefix filter: of two sets with the index
    p/q each has a common shingle among its first n - ceil(n * p / q) + 1 in one order of all
-   shingles (the frequent ones last). Sets that meet so, that sizes and the shingle's places
-   allow the index, and that aren't in one group yet, are all compared, with no cap.
+   shingles (the frequent ones last). Sets that meet so, that sizes, the shingles' places and the number
+   of first shingles in common allow the index, and that aren't in one group yet, are all
+   compared, with no cap.
 """
 
 from __future__ import annotations
@@ -56,6 +57,9 @@ CHOICES = 8
 #: Shingles counted at a time, least count there of one that is told of, and frequent shingles that the order knows at most (it alone depends on them, no result).
 COUNTED, OFTEN, FREQUENT = 2_000_000, 4, 500_000
 
+#: Bytes of a first shingle that is a key; two shingles of one key only add to what is compared.
+KEY_BYTES = 5
+
 #: Keys of a bucket about, sets whose keys are packed at a time, rows compared at a time.
 BUCKET_KEYS, FLUSH, CHUNK = 1_000_000, 4000, 50_000
 
@@ -377,8 +381,36 @@ def first_shingles(s: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], least
     return s[np.lexsort((s, n))[: len(s) - -(-len(s) * p // q) + 1]]
 
 
+def key_bytes(s: np.ndarray) -> bytes:
+    """The first KEY_BYTES of each shingle."""
+    return s.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()
+
+
+def squeeze(keys: np.ndarray, columns: list[np.ndarray]) -> bytes:
+    """Keys (rows of KEY_BYTES) and columns of integers that change little from row to row, compressed byte by byte."""
+    steps = np.stack([np.diff(c, prepend=0) for c in columns])
+    zigzag = (steps << 1 ^ steps >> 63).view(np.uint8).reshape(-1, 8).T
+    return zstandard.compress(np.ascontiguousarray(keys.T).tobytes() + np.ascontiguousarray(zigzag).tobytes(), 1)
+
+
+def unsqueeze(data: bytes, columns: int) -> np.ndarray:
+    """Rows of integers: the keys, then the columns."""
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
+    n = len(raw) // (KEY_BYTES + 8 * columns)
+    keys = np.zeros((n, 8), np.uint8)
+    keys[:, 8 - KEY_BYTES :] = raw[: n * KEY_BYTES].reshape(KEY_BYTES, n).T
+    zigzag = np.ascontiguousarray(raw[n * KEY_BYTES :].reshape(8, -1).T).view(np.int64).reshape(columns, n)
+    steps = (zigzag.view(np.uint64) >> np.uint64(1)).view(np.int64) ^ -(zigzag & 1)
+    return np.concatenate([keys.view(">i8").reshape(1, n).astype(np.int64), np.cumsum(steps, axis=1)])
+
+
 def _met(key: np.ndarray, ids: np.ndarray, label: np.ndarray, size: np.ndarray, place: np.ndarray, least: tuple[int, int]):
-    """(u, v) in parts: all pairs of one key and different labels whose sizes, and the key's places, allow the index. Rows by key."""
+    """Rows u, v, n, short, fits in parts: of pairs of one key and different labels that sizes and places allow, how many keys they met under (n).
+
+    Sets with the index have at least `short` first shingles in common: in the order of all
+    shingles, what two sets have in common beyond these lies behind the first shingles of one of
+    them. fits: whether a key may be the least they have in common. Rows by key.
+    """
     p, q = least
     ends = np.searchsorted(key, key, "right")
     low = 0
@@ -390,12 +422,16 @@ def _met(key: np.ndarray, ids: np.ndarray, label: np.ndarray, size: np.ndarray,
         b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(each) - each, each)
         differ = label[a] != label[b]
         a, b = a[differ], b[differ]
-        need = p * (size[a] + size[b])  # of p + q times what two sets have in common
-        most = np.minimum(size[a] - place[a], size[b] - place[b])  # if no earlier shingle is common
-        fits = (p + q) * most >= need
-        if fits.any():
-            u, v = ids[a[fits]], ids[b[fits]]
-            yield np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0)
+        need = -(-p * (size[a] + size[b]) // (p + q))  # what two sets of the index have in common
+        most = np.minimum(size[a] - place[a], size[b] - place[b])  # of it, from this key on
+        may = most + np.minimum(place[a], place[b]) >= need
+        a, b, need, most = a[may], b[may], need[may], most[may]
+        if len(a):
+            rest = -(-np.maximum(size[a], size[b]) * p // q) - 1  # behind the first shingles
+            rows = np.stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b]), need - rest, most >= need])
+            rows = rows[:, np.lexsort(rows[1::-1])]
+            new = np.flatnonzero(np.append(True, (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)))
+            yield np.stack([*rows[:2, new], np.diff(np.append(new, rows.shape[1])), rows[2, new], np.maximum.reduceat(rows[3], new)])
         low = high
 
 
@@ -407,44 +443,45 @@ def _missed(rows: DataFrame, classes: DataFrame, groups: DataFrame, frequent, wo
         held("copies")
         for b in batches:
             found = [s for s in (shingles(t, words) for t in strings(b.column(0))) if len(s)]
-            firsts = [zstandard.compress(first_shingles(s, frequent.value, least).tobytes(), 1) for s in found]
+            firsts = [key_bytes(first_shingles(s, frequent.value, least)) for s in found]
             yield pa.RecordBatch.from_arrays([_names(found), pa.array([len(s) for s in found], pa.int64()), pa.array(firsts, pa.binary())], names=["c", "n", "firsts"])
 
     own = rows.select("t").mapInArrow(tidy(prefixes), "c long, n long, firsts binary").groupBy("c").agg(F.first("n").alias("n"), F.first("firsts").alias("firsts"))
     labelled = classes.select("id", "c").join(groups.select(F.col("u").alias("id"), F.col("v").alias("label")), "id", "left")
-    own = cut(own.join(labelled, "c").select("id", F.coalesce("label", "id").alias("label"), "n", "firsts"))
-    total = own.agg(F.sum(F.floor(F.col("n") / 5) + 1)).first()[0] or 0
+    own = own.join(labelled, "c").select("id", F.coalesce("label", "id").alias("label"), "n", "firsts")
+    total = classes.agg(F.sum(F.floor(F.col("n") / 5) + 1)).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_KEYS))
 
     def pack(parts) -> pa.RecordBatch:
         ids, label, n = (np.array(c, np.int64) for c in parts[:3])
-        firsts = parts[3]
-        each = np.array([len(f) for f in firsts], np.int64)
-        key = np.concatenate([np.empty(0, np.uint64), *firsts])
+        each = np.array([len(f) // KEY_BYTES for f in parts[3]], np.int64)
+        keys = np.frombuffer(b"".join(parts[3]), np.uint8).reshape(-1, KEY_BYTES)
         of = np.repeat(np.arange(len(ids)), each)
-        place = np.arange(len(key)) - np.repeat(np.cumsum(each) - each, each)
+        place = np.arange(len(keys)) - np.repeat(np.cumsum(each) - each, each)
+        key = np.zeros((len(keys), 8), np.uint8)
+        key[:, :KEY_BYTES] = keys
         with np.errstate(over="ignore"):
-            bucket = (key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(buckets)
-        order = np.lexsort((key, bucket))
-        key, of, place, bucket = key[order], of[order], place[order], bucket[order]
+            bucket = (key.view(np.uint64).ravel() * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(buckets)
+        order = np.argsort(bucket, kind="stable")
+        keys, of, place, bucket = keys[order], of[order], place[order], bucket[order]
         cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
         blobs = []
         for i, j in zip(cuts[:-1], cuts[1:]):
             o = of[i:j]
-            columns = [key[i:j].view(np.int64), ids[o], label[o] - ids[o], n[o], place[i:j]]
-            blobs.append(zstandard.compress(np.stack(columns).tobytes(), 1))
+            blobs.append(squeeze(keys[i:j], [ids[o], label[o] - ids[o], n[o], place[i:j]]))
         return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "data"])
 
     def send(batches):
         held("copies")
         parts: list = [[], [], [], []]
+        size = 0
         for b in batches:
-            for i in range(3):
+            for i in range(4):
                 parts[i] += b.column(i).to_pylist()
-            parts[3] += [np.frombuffer(zstandard.decompress(f), np.uint64) for f in b.column(3).to_pylist()]
-            if sum(map(len, parts[3])) >= BUCKET_KEYS:
+            size += sum(map(len, parts[3][-b.num_rows :])) if b.num_rows else 0
+            if size >= BUCKET_KEYS * KEY_BYTES:
                 yield pack(parts)
-                parts = [[], [], [], []]
+                parts, size = [[], [], [], []], 0
         if parts[0]:
             yield pack(parts)
 
@@ -452,19 +489,21 @@ def _missed(rows: DataFrame, classes: DataFrame, groups: DataFrame, frequent, wo
         held("copies")
         parts = [np.empty((5, 0), np.int64)]
         for b in batches:
-            parts += [np.frombuffer(zstandard.decompress(d), np.int64).reshape(5, -1) for d in b.column(1).to_pylist()]
+            parts += [unsqueeze(d, 4) for d in b.column(1).to_pylist()]
         a = np.concatenate(parts, axis=1)
         del parts
         a = a[:, np.argsort(a[0], kind="stable")]
         same = a[0, 1:] == a[0, :-1]
         a = a[:, np.append(same, False) | np.append(False, same)] if a.shape[1] else a
-        for pairs in _met(a[0], a[1], a[1] + a[2], a[3], a[4], least):
-            for low in range(0, len(pairs), 100_000):
-                part = pairs[low : low + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy())], names=["u", "v"])
+        for met in _met(a[0], a[1], a[1] + a[2], a[3], a[4], least):
+            for low in range(0, met.shape[1], 100_000):
+                part = met[:, low : low + 100_000]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c.copy()) for c in part[:2]), *(pa.array(c.astype(np.int32)) for c in part[2:])], names=["u", "v", "n", "short", "fits"])
 
     blobs = own.select("id", "label", "n", "firsts").mapInArrow(tidy(send), BLOB)
-    return cut(blobs.repartitionById(buckets, F.col("bucket")).mapInArrow(tidy(meet), "u long, v long").distinct())
+    met = blobs.repartitionById(buckets, F.col("bucket")).mapInArrow(tidy(meet), "u long, v long, n int, short int, fits int")
+    met = met.groupBy("u", "v").agg(F.sum("n").alias("n"), F.max("short").alias("short"), F.max("fits").alias("fits"))
+    return cut(met.filter("fits = 1 AND n >= short").select("u", "v"))
 
 
 def near(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, least: tuple[int, int] = LEAST) -> DataFrame:
@@ -486,8 +525,8 @@ def near(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WO
         found, times = np.unique(np.concatenate(seen), return_counts=True)
         often = times >= OFTEN
         data = found[often].tobytes() + times[often].astype(np.uint64).tobytes()
-        nothing = [pa.nulls(1, t) for t in (pa.int64(), pa.binary(), pa.binary())]
-        return pa.RecordBatch.from_arrays([pa.nulls(1, arrow_kind), *nothing, pa.array([data], pa.binary())], names=["k", "c", "f", "head", "often"])
+        nothing = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.binary())]
+        return pa.RecordBatch.from_arrays([pa.nulls(1, arrow_kind), *nothing, pa.array([data], pa.binary())], names=["k", "c", "n", "f", "head", "often"])
 
     def sets(batches):
         held("copies")
@@ -498,7 +537,7 @@ def near(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WO
             found = [found[i] for i in some]
             heads = [s[: len(s) - -(-len(s) * p // q) + 1].tobytes() if len(s) * p < FEW * q else b"" for s in found]
             prints = [r.tobytes() for r in wide(found)]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some, pa.int64())), _names(found), pa.array(prints, pa.binary()), pa.array(heads, pa.binary()), pa.nulls(len(some), pa.binary())], names=["k", "c", "f", "head", "often"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some, pa.int64())), _names(found), pa.array([len(s) for s in found], pa.int64()), pa.array(prints, pa.binary()), pa.array(heads, pa.binary()), pa.nulls(len(some), pa.binary())], names=["k", "c", "n", "f", "head", "often"])
             seen += found
             size += sum(map(len, found))
             if size >= COUNTED:
@@ -507,9 +546,9 @@ def near(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WO
         if size:
             yield counts(seen, b.column(0).type)
 
-    both = cut(rows.mapInArrow(tidy(sets), f"k {kind}, c long, f binary, head binary, often binary"))
+    both = cut(rows.mapInArrow(tidy(sets), f"k {kind}, c long, n long, f binary, head binary, often binary"))
     own = both.filter("c IS NOT NULL").drop("often")
-    classes = own.groupBy("c").agg(F.min("k").alias("rep"), F.first("f").alias("f"), F.first("head").alias("head"))
+    classes = own.groupBy("c").agg(F.min("k").alias("rep"), F.first("n").alias("n"), F.first("f").alias("f"), F.first("head").alias("head"))
     classes = cut(classes.withColumn("id", F.monotonically_increasing_id()))
     edges = candidates(classes, words, least)
     wholes = _wholes(rows, classes, edges, words)

@@ -170,3 +170,40 @@ def test_links_that_the_search_misses(spark, monkeypatch):
     nothing = spark.createDataFrame([], "u long, v long, n long, d int")
     monkeypatch.setattr(copies, "candidates", lambda *_: nothing)
     assert {x.doc_id for x in copies.keep_one(df).collect()} == want
+
+
+def test_few_pairs_are_compared_whole(spark, monkeypatch):
+    """Texts that share a passage meet by its shingles, but too few of them to be compared; all near copies are."""
+    import random
+
+    import numpy as np
+
+    from sluice.llm import copies
+
+    r = random.Random(7)
+    passage, rows = [f"p{i}" for i in range(12)], []
+    for i in range(40):
+        rows.append((i, " ".join([f"u{r.randrange(10**9)}" for _ in range(60)] + passage + [f"u{r.randrange(10**9)}" for _ in range(60)])))
+    for i in range(4):
+        words = rows[i][1].split()
+        words[5] = words[-5] = "x"
+        rows.append((40 + i, " ".join(words[: len(words) - i])))
+    monkeypatch.setattr(copies, "OFTEN", 1000)  # so that the passage is among the first shingles
+    asked, compare = [], copies._compare
+
+    def count(pairs, wholes, least, bounded=True):
+        asked.extend([] if bounded else pairs.collect())
+        return compare(pairs, wholes, least, bounded)
+
+    nothing = spark.createDataFrame([], "u long, v long, n long, d int")
+    monkeypatch.setattr(copies, "candidates", lambda *_: nothing)
+    monkeypatch.setattr(copies, "_compare", count)
+    got = {x.doc_id: x.component_id for x in copies.near(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - 40 if i >= 40 else i for i in range(44)}
+    assert len(asked) == 4
+
+    s = np.array([r.getrandbits(64) for _ in range(1000)], np.uint64)
+    keys = np.frombuffer(copies.key_bytes(s), np.uint8).reshape(-1, copies.KEY_BYTES)
+    columns = [np.array([r.randrange(-(2**m), 2**m) for _ in range(1000)], np.int64) for m in (60, 3, 20)]
+    back = copies.unsqueeze(copies.squeeze(keys, columns), 3)
+    assert (back[0].astype(np.uint64) == s >> np.uint64(64 - 8 * copies.KEY_BYTES)).all() and (back[1:] == columns).all()
