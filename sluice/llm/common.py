@@ -88,6 +88,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Shuffle files of tables that nothing holds any more go, as they do once the JVM collects those tables."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut_plain(df: DataFrame) -> DataFrame:
     """A checkpoint that forgets the estimated size of what it was made from.
 

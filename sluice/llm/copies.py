@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import bounded_batches, column, cut, filter_of, held, passing, strings, tidy
+from sluice.llm.common import bounded_batches, column, cut, filter_of, held, let_go, passing, strings, tidy
 from sluice.llm.graph import components
 from sluice.llm.simhash import SEED, hashes
 
@@ -551,14 +551,20 @@ def near(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WO
     classes = own.groupBy("c").agg(F.min("k").alias("rep"), F.first("n").alias("n"), F.first("f").alias("f"), F.first("head").alias("head"))
     classes = cut(classes.withColumn("id", F.monotonically_increasing_id()))
     edges = candidates(classes, words, least)
+    let_go(df.sparkSession)
     wholes = _wholes(rows, classes, edges, words)
+    let_go(df.sparkSession)
     tested = _best(edges)
     links = _compare(tested, wholes, least)
+    let_go(df.sparkSession)
     left = cut(_between(edges, components(links), tested))
     links = cut(links.union(_compare(_within(left, wholes), wholes, least)))
+    let_go(df.sparkSession)
     missed = _missed(rows, classes, components(links), _frequent(both), words, least)
+    let_go(df.sparkSession)
     if not missed.isEmpty():
         links = links.union(_compare(missed, _wholes(rows, classes, missed, words), least, bounded=False))
+    let_go(df.sparkSession)
     least_of = components(links)
     labelled = cut(classes.select(F.col("id").alias("u"), "c", "rep").join(least_of, "u", "left").select("c", "rep", F.coalesce("v", "u").alias("label")))
     of = cut(labelled.groupBy("label").agg(F.min("rep").alias("component_id")))

@@ -207,3 +207,26 @@ def test_few_pairs_are_compared_whole(spark, monkeypatch):
     columns = [np.array([r.randrange(-(2**m), 2**m) for _ in range(1000)], np.int64) for m in (60, 3, 20)]
     back = copies.unsqueeze(copies.squeeze(keys, columns), 3)
     assert (back[0].astype(np.uint64) == s >> np.uint64(64 - 8 * copies.KEY_BYTES)).all() and (back[1:] == columns).all()
+
+
+def test_shuffles_no_longer_held_go(spark):
+    """near lets go of its shuffles' files step by step, not when a collection happens to come."""
+    import time
+
+    from sluice.llm.common import let_go
+
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    let_go(spark)
+    time.sleep(2)
+    df = spark.range(1000).repartition(7, "id")
+    before = disk.getAllFiles().size()
+    df.collect()
+    most = disk.getAllFiles().size()
+    assert most > before
+    del df
+    let_go(spark)
+    for _ in range(100):
+        if disk.getAllFiles().size() < most:
+            return
+        time.sleep(0.1)
+    raise AssertionError("the shuffle's files are still there")
